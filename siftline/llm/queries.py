@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, sharding, simhash, tokens
-from .common import scratch, table
+from . import chat, decontaminate, langid, packing, quality, sharding, simhash, tokens, toxicity
+from .common import held_out, scratch, table
 
 
 def tokenizer_path() -> str:
@@ -30,6 +30,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(decontaminate.find_contamination(docs, benchmark))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels, langid.fit(docs)))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "lang_pred")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
     sharding.write_shards(sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40), path)
@@ -59,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For each query, what it runs.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_chat_format, op2_best_fit_packing, op3_decontamination, op6_sharding, op7_simhash, op8_token_output, op10_quality_rules,
+        op1_chat_format, op2_best_fit_packing, op3_decontamination, op4_language_id, op5_toxicity, op6_sharding, op7_simhash, op8_token_output, op10_quality_rules,
     )
 }
 
