@@ -79,3 +79,25 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, added: str, carry: bool) -> tuple[DataFrame, str, int, int]:
+    """What an operator that adds columns to each row reads and gives.
+
+    With carry, all columns but those that the new ones replace; else doc_id and text alone, of which
+    only doc_id is given back.  Also the result's schema, and the places of id and text.
+    """
+    if not carry:
+        slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        return slim, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {added}", 0, 1
+    kept = without(docs, [x.split()[0] for x in added.split(", ")])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept, f"{fields}, {added}", kept.columns.index(id_col), kept.columns.index(text_col)
+
+
+def widened(batch, new: dict, carry: bool):
+    """The batch's columns, or its first alone, with new ones."""
+    import pyarrow as pa
+
+    n = batch.num_columns if carry else 1
+    return pa.RecordBatch.from_arrays([*batch.columns[:n], *new.values()], names=[*batch.schema.names[:n], *new])

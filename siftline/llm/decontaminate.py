@@ -11,20 +11,22 @@ pipelined stage, and carry their hits along.
 
 Results in odd cases: a null or wordless text has no words, no hits and is clean; a null or
 wordless item is no pattern; rows of one item id count as one item; a null item id is written as an
-empty string; repeated documents each get a row; extra columns are not read.
+empty string; repeated documents each get a row; extra columns are not read, or carried along if asked for,
+but for those that the new columns replace.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_and_text
+
 #: Bytes of words: digits, lower-case letters and all of non-ASCII; A-Z become a-z, the rest spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SHIFT_BITS = 18
@@ -129,53 +131,58 @@ def _pattern_blocks(benchmark: DataFrame, window: int, block_words: int, item_co
         yield held
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 20_000_000,
-                       id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                       keep_text: bool = False) -> DataFrame:
-    """A row for each document: doc_id, (text,) n_words, spans (array of first word and end), items (array of item ids, sorted)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 20_000_000, id_col: str = "doc_id",
+                       text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
+    """A row for each document: doc_id (with carry: all columns), n_words, spans (array of first word and end), items (array of item ids, sorted)."""
     context = docs.sparkSession.sparkContext
-    tables = []
-    for held in _pattern_blocks(benchmark, window, block_words, item_col, item_text_col):
-        tables.append(context.broadcast((held, window)))
+    blocks = [context.broadcast((held, window)) for held in _pattern_blocks(benchmark, window, block_words, item_col, item_text_col)] or [None]
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    added = "n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>"
 
-    def search(block, with_text: bool):
-        kept = [0, 1, 2, 3, 4] if with_text else [0, 2, 3, 4]
+    def search(block, text_at: int, keep: int, found_at: int | None):
+        """Search one block; found_at: where an earlier block's spans are, if there was one."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             patterns = Patterns(*block.value) if block is not None else Patterns([], window)
             for batch in batches:
                 counts, spans, items = [], [], []
-                for text, was, had in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                was = batch.column(found_at).to_pylist() if found_at else [[]] * batch.num_rows
+                had = batch.column(found_at + 1).to_pylist() if found_at else [[]] * batch.num_rows
+                for text, before, known in zip(batch.column(text_at), was, had):
                     found = words(text.as_py())
                     hit, new = patterns.search(found)
                     counts.append(len(found))
-                    spans.append([{"first": a, "end": b} for a, b in merged([(s["first"], s["end"]) for s in was] + hit)])
-                    items.append(sorted({*had, *new}))
-                columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([columns[k] for k in kept], names=[names[k] for k in kept])
+                    spans.append([{"first": a, "end": b} for a, b in merged([(s["first"], s["end"]) for s in before] + hit)])
+                    items.append(sorted({*known, *new}))
+                new_columns = [pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *new_columns], names=[*batch.schema.names[:keep], "n_words", "spans", "items"])
 
         return run
 
-    names, empty = ["doc_id", "text", "n_words", "spans", "items"], "array<struct<first:bigint,end:bigint>>"
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
-                      F.array().cast(empty).alias("spans"), F.array().cast("array<string>").alias("items"))
-    tables = tables or [None]
-    for k, block in enumerate(tables):
-        with_text = keep_text or k < len(tables) - 1
-        out = out.mapInArrow(search(block, with_text), f"doc_id long, {'text string, ' * with_text}n_words long, spans {empty}, items array<string>")
+    out, schema, _, text_at = id_and_text(docs, id_col, text_col, added, carry)
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        keep = len(out.columns) - 3 * (k > 0)
+        found_at = keep + 1 if k else None
+        if last and not carry:
+            keep = 1
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:keep])
+        out = out.mapInArrow(search(block, text_at, keep, found_at), f"{fields}, {added}")
     return out
 
 
+def n_hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+
+
+def contaminated(per_cent: int = 5) -> Column:
+    """Whether words in occurrences are at least so many per cent of a document's words."""
+    return (n_hit() > 0) & (100 * n_hit() >= per_cent * F.col("n_words"))
+
+
 def verdicts(found: DataFrame, per_cent: int = 5) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of find_contamination()'s rows."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (100 * n_hit >= per_cent * F.col("n_words"))).alias("contaminated"),
+        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(per_cent).alias("contaminated"),
     )
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -9,7 +9,8 @@ Fitting reads at most about ``per_language`` rows of each language, chosen by a
 their features are made on the executors.  Prediction reads whole texts, in slices.
 
 Results in odd cases: a text that is null or has no letter is "und" with score 0; without any row
-to learn from every text is "und"; repeated rows each get a row; extra columns are not read.
+to learn from every text is "und"; repeated rows each get a row; extra columns are not read, or
+carried along if asked for, but for those that the new columns replace.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, id_and_text, widened
 
 BINS_BITS = 12
 BINS = 1 << BINS_BITS
@@ -142,15 +143,14 @@ def guess(model: LanguageModel, texts: list[str | None], at_once: int = 256) ->
     return names, scores, leads
 
 
-def identify(docs: DataFrame, model: LanguageModel, least_lead: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and ambiguous of every row."""
+def identify(docs: DataFrame, model: LanguageModel, least_lead: float = 0.02, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id (with carry: all columns), lang_pred, score and ambiguous of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    slim, schema, _, text_at = id_and_text(docs, id_col, text_col, "lang_pred string, score double, ambiguous boolean", carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, leads = guess(shared.value, batch.column(1).to_pylist())
-            columns = [batch.column(0), pa.array(names), pa.array(scores), pa.array(leads < least_lead)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "ambiguous"])
+            names, scores, leads = guess(shared.value, batch.column(text_at).to_pylist())
+            yield widened(batch, {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "ambiguous": pa.array(leads < least_lead)}, carry)
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    return slim.mapInArrow(run, schema)

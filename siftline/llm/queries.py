@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, quality, sharding, simhash, tokens, toxicity
+from . import chat, decontaminate, html_extract, langid, packing, quality, sharding, simhash, tokens, toxicity
 from .common import held_out, scratch, table
 
 
@@ -63,6 +63,11 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"), html_extract.fitted())
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return quality.judge(docs, quality.fit(docs, labels))
@@ -71,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For each query, what it runs.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_chat_format, op2_best_fit_packing, op3_decontamination, op4_language_id, op5_toxicity, op6_sharding, op7_simhash, op8_token_output, op10_quality_rules,
+        op1_chat_format, op2_best_fit_packing, op3_decontamination, op4_language_id, op5_toxicity, op6_sharding, op7_simhash, op8_token_output, op9_html_extraction, op10_quality_rules,
     )
 }
 
