@@ -1,7 +1,8 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters the records into memory-sized buckets by a seeded hash; pass two loads one
-bucket at a time, shuffles it by Fisher-Yates and writes it.  Bucket b holds the places
+bucket at a time, shuffles it by Fisher-Yates and writes it.  A bucket's offset travels with it as a
+row of its own, so the records are shuffled once and joined with nothing.  Bucket b holds the places
 [offset(b), offset(b) + size(b)) of one global permutation, and shard i the places from
 floor(i * n / shards), so that the shards' row counts differ by one at most (law "rows").
 
@@ -37,8 +38,9 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
 def _permute_buckets(seed: int, bucket_at: int, offset_at: int, keep: list[int]):
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
-        bucket = rows.column(bucket_at)[0].as_py()
-        places = fisher_yates(rows.num_rows, (seed, bucket)) + rows.column(offset_at)[0].as_py()
+        bucket, offset = rows.column(bucket_at)[0].as_py(), rows.column(offset_at)[0].as_py()
+        rows = rows.slice(1)  # the first row told the offset
+        places = fisher_yates(rows.num_rows, (seed, bucket)) + offset
         out = rows.select(keep).append_column("position", pa.array(places)).take(pa.array(np.argsort(places)))
         yield from out.combine_chunks().to_batches()
 
@@ -73,12 +75,13 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20261, id_col
     keyed = docs.withColumn(TIE, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
     keyed = keyed.withColumn(BUCKET, F.pmod(F.col(TIE), F.lit(buckets)).cast("long"))
     counts = checkpointed(keyed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias(f"{OWN}n")))
-    keyed = keyed.join(running_offsets(counts, BUCKET, f"{OWN}n", OFFSET), BUCKET)
+    heads = running_offsets(counts, BUCKET, f"{OWN}n", OFFSET)
+    keyed = keyed.withColumn(OFFSET, F.lit(None).cast("long")).unionByName(heads, allowMissingColumns=True)
     spark = docs.sparkSession
     parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-all_bytes // task_bytes)))
     keyed = keyed.select(*docs.columns, TIE, BUCKET, OFFSET)
     scattered = keyed.repartitionById(parts, F.expr(f"cast({BUCKET} * {parts} div {buckets} as int)"))
-    scattered = scattered.sortWithinPartitions(BUCKET, TIE, id_col)
+    scattered = scattered.sortWithinPartitions(BUCKET, F.col(OFFSET).asc_nulls_last(), TIE, id_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("position", T.LongType())])
     width = len(docs.columns)
     placed = scattered.mapInArrow(_permute_buckets(seed, width + 1, width + 2, list(range(width))), schema)
