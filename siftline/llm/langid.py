@@ -109,7 +109,7 @@ def train(profiles: np.ndarray, languages: list[str], steps: int = 120, rate: fl
 
 def fit(docs: DataFrame, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from rows that are not held out."""
-    known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
     sizes = known.groupBy("g").count().limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
