@@ -12,6 +12,7 @@ files; extra columns are not read.  A document may span frames, so its length ha
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -20,6 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,74 +32,133 @@ FRAME_IDS = 65536
 #: Fixed values of the zstandard frame and seekable formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
-_UNSAFE = re.compile(r" \s|\s ")
+#: White space of any kind, as RE2 and Python know it, next to a space; or a space at either end.
+_WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_UNSAFE = f" {_WHITE}|{_WHITE} |^ | $"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a segment and of a batch; pieces that are encoded in one call's text.
+SEGMENT, BATCH, GROUP = 1 << 21, 1 << 23, 48
+
+
+def _segments(text: str) -> list[str]:
+    """A text in runs of about SEGMENT characters, cut where a token starts in any case."""
+    cuts = [0]
+    while len(text) - cuts[-1] > SEGMENT and (found := _BETWEEN.search(text, cuts[-1] + SEGMENT)):
+        cuts.append(found.start())
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
 class PieceEncoder:
     """The ids of whole texts, as bytes, from the tokenizers library.
 
     Byte-level pre-tokenisation always starts a new token at a single space between two characters
-    that are no white space.  So a text is cut there and each piece encoded once; pieces seen
-    before come from a cache of at most ``entries`` pieces.
+    that are no white space.  So texts are cut there, the distinct pieces of a batch are found by
+    Arrow's dictionary encoding, and each is encoded once; a cache keeps the ids of the first
+    ``entries`` pieces of at most ``longest`` characters.  numpy then lines the ids up.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 1_000_000, longest: int = 32):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.entries = entries
-        self.cache: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.entries, self.longest = entries, longest
+        self.cache = pa.array([], pa.large_string())
+        self.pool, self.used = np.zeros(1 << 20, dtype="<u4"), 0
+        self.starts, self.sizes = np.zeros(entries, dtype=np.int32), np.zeros(entries, dtype=np.int32)
         n = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _learn(self, missing: list[str]) -> None:
-        plain = [p for p in missing if " " not in p]
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(some):
-                data, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
-                self.cache.update(zip(some, (data[a:b] for a, b in zip((cuts * 4).tolist(), ends))))
-            else:
-                self.cache.update(zip(some, self._whole([" " + p for p in some])))
-        spaced = [p for p in missing if " " in p]
-        if spaced:
-            self.cache.update(zip(spaced, self._whole([" " + p for p in spaced])))
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _spaced(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces with a space before each, one after another, and how many each has."""
+        if any(" " in p for p in pieces):
+            found = self._whole([" " + p for p in pieces])
+            return np.concatenate(found), np.array([len(x) for x in found])
+        groups = [pieces[at : at + GROUP] for at in range(0, len(pieces), GROUP)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        ids = [np.array(e.ids, dtype="<u4") for e in found]
+        joined = np.concatenate(ids)
+        cuts = np.flatnonzero(self.opens[joined])
+        if len(cuts) != len(pieces):  # not seen so far: a piece with a second token that begins like a first one
+            found = self._whole([" " + p for p in pieces])
+            return np.concatenate(found), np.array([len(x) for x in found])
+        return joined, np.diff(np.append(cuts, len(joined)))
+
+    def _keep(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        room = self.entries - len(self.cache)
+        if room <= 0:
+            return
+        kept = np.flatnonzero(pc.less_equal(pc.utf8_length(pieces), self.longest).to_numpy(zero_copy_only=False))[:room]
+        at, ends = slice(len(self.cache), len(self.cache) + len(kept)), np.cumsum(sizes)
+        self.cache = pa.concat_arrays([self.cache, pieces.take(pa.array(kept))])
+        self.starts[at], self.sizes[at] = self.used + ends[kept] - sizes[kept], sizes[kept]
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and each piece's place and size in it."""
+        numbers = pc.fill_null(pc.index_in(pieces, self.cache), -1).to_numpy()
+        late = np.flatnonzero(numbers < 0)
+        starts, sizes = self.starts[numbers].astype(np.int64), self.sizes[numbers].astype(np.int64)
+        pool = self.pool[: self.used]
+        if len(late):
+            missing = pieces.take(pa.array(late))
+            ids, n = self._spaced(missing.to_pylist())
+            starts[late], sizes[late] = len(pool) + np.cumsum(n) - n, n
+            pool = np.concatenate([pool, ids])
+            self._keep(missing, ids, n)
+        return pool, starts, sizes
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string())
+        unsafe = pc.match_substring_regex(column, _UNSAFE)
+        pieces = pc.split_pattern(column, " ")
+        if pc.any(unsafe).as_py():
+            mixed = [_BETWEEN.split(t) if u else t.split(" ") for t, u in zip(texts, unsafe.to_pylist())]
+            pieces = pa.array(mixed, pa.large_list(pa.large_string()))
+        bounds = np.asarray(pieces.offsets).astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        word = np.asarray(coded.indices).astype(np.int64)
+        pool, starts, sizes = self._distinct(coded.dictionary)
+        first = bounds[:-1]
+        heads, which = np.unique(word[first], return_inverse=True)
+        bare = self._whole(coded.dictionary.take(pa.array(heads)).to_pylist())  # without the space in front
+        own = np.array([len(x) for x in bare], dtype=np.int64)
+        begin, size = starts[word], sizes[word]
+        begin[first], size[first] = (len(pool) + np.cumsum(own) - own)[which], own[which]
+        pool = np.concatenate([pool, *bare])
+        ends = np.append(0, np.cumsum(size))
+        ids = pool[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        data, edges = ids.tobytes(), (ends[bounds] * 4).tolist()
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        cut = []
-        for text in texts:
-            text = text or ""
-            cut.append(_BETWEEN.split(text) if _UNSAFE.search(text) else text.split(" ") if text != " " else [text])
-        for i, pieces in enumerate(cut):  # a space at either end has no neighbour
-            if len(pieces) > 1 and (not pieces[0] or not pieces[-1]):
-                cut[i] = _BETWEEN.split(texts[i])
-        if len(self.cache) > self.entries:
-            self.cache.clear()
-            self.heads.clear()
-        heads = list({p[0] for p in cut} - self.heads.keys())
-        if heads:
-            self.heads.update(zip(heads, self._whole(heads)))
-        missing: set[str] = set()
-        for pieces in cut:
-            missing.update(pieces[1:])
-        missing -= self.cache.keys()
-        if missing:
-            self._learn(sorted(missing))
-        get = self.cache.__getitem__
-        return [b"".join([self.heads[p[0]], *map(get, p[1:])]) for p in cut]
-
-
-def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, at_once: int = 2000) -> Iterator[tuple[list, list[bytes]]]:
+        parts = [_segments(t or "") for t in texts]
+        flat, out, held, size = [s for p in parts for s in p], [], [], 0
+        for segment in flat:
+            held.append(segment)
+            size += len(segment)
+            if size >= BATCH:
+                out += self._encode(held)
+                held, size = [], 0
+        out += self._encode(held) if held else []
+        done = iter(out)
+        return [b"".join(next(done) for _ in p) for p in parts]
+
+
+@functools.cache
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder for each worker process, which outlives its tasks."""
+    return PieceEncoder(path)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, at_once: int = 4000) -> Iterator[tuple[list, list[bytes]]]:
     """For batches of (id, text): ids and the documents' token bytes with the end id."""
-    encoder, end = PieceEncoder(tokenizer), struct.pack("<I", end_id)
+    encoder, end = piece_encoder(tokenizer), struct.pack("<I", end_id)
     for batch in batches:
         for at in range(0, batch.num_rows, at_once):
             some = batch.slice(at, at_once)
