@@ -40,7 +40,7 @@ def HumanName(text: Column, separator: str = "，") -> Column:
 @ifunc
 def BioName(text: Column, style: str = "scientificName") -> Column | list[Column]:
     name, fields = taxon.styled_name(text, style), taxon.STYLES[style]
-    return name if len(fields) == 1 else [let(name, lambda n, f=f: n[f]) for f in fields]
+    return name if len(fields) == 1 else [name[f] for f in fields]
 
 
 @ifunc
