@@ -186,3 +186,22 @@ def verdicts(found: DataFrame, per_cent: int = 5) -> DataFrame:
         "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(per_cent).alias("contaminated"),
     )
+
+
+_SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE = f"""
+WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_SQL_WORDS} AS w FROM benchmark),
+patterns AS (
+  SELECT DISTINCT item, n, list_aggregate(list_slice(w, i, i + n - 1), 'string_agg', ' ') AS gram
+  FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, row_number() OVER () AS k, {_SQL_WORDS} AS w FROM documents),
+grams AS (
+  SELECT k, n, i, list_aggregate(list_slice(w, i, i + n - 1), 'string_agg', ' ') AS gram
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM patterns) WHERE len(w) >= n)),
+found AS (SELECT g.k, g.i, g.n, p.item FROM grams g JOIN patterns p ON g.n = p.n AND g.gram = p.gram),
+hits AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS place FROM found) GROUP BY k),
+owners AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT k, item FROM found) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (k) LEFT JOIN owners USING (k)
+"""

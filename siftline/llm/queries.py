@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op3_decontamination": decontaminate.ORACLE}
