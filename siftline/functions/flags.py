@@ -19,10 +19,6 @@ def flagged(value: Column, failed: Column, raw: Column, mark: bool = True) -> Co
     return F.struct(F.when(~bad, value).alias("value"), issue.alias("issue"))
 
 
-def rendered(cell: Column) -> Column:
-    return F.coalesce(cell["value"].cast("string"), F.concat(F.lit(FLAG), cell["issue"]))
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for a row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -31,3 +27,7 @@ def let(value: Column, body) -> Column:
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches of a pattern, as an array."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def rendered(cell: Column) -> Column:
+    return let(cell, lambda c: F.coalesce(c["value"].cast("string"), F.concat(F.lit(FLAG), c["issue"])))

@@ -34,9 +34,12 @@ def parsed_name(text: Column) -> Column:
     parts = F.struct(genus.alias("g"), F.when(sign == "", epithet).otherwise(F.concat(F.lit("× "), epithet)).alias("s"), epithet.alias("e"), rest.alias("r"))
 
     def build(p: Column) -> Column:
-        rest = p["r"]
-        infra, rank = group(rest, REST, 3), group(rest, REST, 2)
-        early, late = F.trim(group(rest, REST, 1)), F.trim(group(rest, REST, 4))
+        below = [group(p["r"], REST, k) for k in (1, 2, 3, 4)]
+        each = F.struct(*[p[x].alias(x) for x in "gser"], *[F.trim(b).alias(f"b{k}") for k, b in enumerate(below, 1)])
+        return let(each, levelled)
+
+    def levelled(p: Column) -> Column:
+        rest, early, rank, infra, late = p["r"], p["b1"], p["b2"], p["b3"], p["b4"]
         own = infra != ""
         below = own & (infra != p["s"])
         autonym = own & (infra == p["s"])

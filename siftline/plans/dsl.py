@@ -88,6 +88,7 @@ class Step:
     new: dict[str, Column]
     drop: set[str] = field(default_factory=set)
     table: Callable[[DataFrame], DataFrame] | None = None
+    used: set[str] = field(default_factory=set)
 
 
 class _Compiler:
@@ -185,7 +186,20 @@ class _Compiler:
         new = dict(zip(item.outputs, results))
         drop = {u for u in used if item.drop and u not in new}
         self.columns = [c for c in self.columns if c not in drop and c not in new] + list(new)
-        return Step(new, drop)
+        return Step(new, drop, used=set(used))
+
+
+def levels(steps: Sequence[Step]) -> list[Step]:
+    """Neighbouring steps as one projection where the later does not read what the earlier makes."""
+    out: list[Step] = []
+    for step in steps:
+        last = out[-1] if out else None
+        if last is None or step.table or last.table or (step.used | set(step.new)) & set(last.new):
+            out.append(Step(dict(step.new), set(step.drop), step.table, set(step.used)))
+        else:
+            last.new |= step.new
+            last.drop |= step.drop
+    return out
 
 
 @dataclass
@@ -200,7 +214,7 @@ class Plan:
     fill: Any
 
     def apply(self, df: DataFrame) -> DataFrame:
-        for step in self.steps:
+        for step in levels(self.steps):
             if step.table is not None:
                 df = step.table(df)
                 continue
