@@ -88,13 +88,16 @@ class LanguageModel:
 
 
 def train(profiles: np.ndarray, languages: list[str], steps: int = 120, rate: float = 4.0, decay: float = 2e-5) -> LanguageModel:
-    """Logistic classifiers of all bits together, by gradient descent with momentum; classes weigh alike."""
+    """Logistic classifiers of all bits together, by gradient descent with momentum; classes weigh alike.
+
+    The last column of profiles is one, for the constants.
+    """
     names = sorted(set(languages))
     codes = codewords(len(names))
     which = np.array([names.index(x) for x in languages])
     target = codes[which]
     share = (1.0 / np.bincount(which))[which][:, None].astype(np.float32) / len(names)
-    x = np.hstack([profiles, np.ones((len(profiles), 1), np.float32)])
+    x = profiles
     weights = np.zeros((BINS + 1, codes.shape[1]), dtype=np.float32)
     speed = np.zeros_like(weights)
     for _ in range(steps):
@@ -107,7 +110,7 @@ def train(profiles: np.ndarray, languages: list[str], steps: int = 120, rate: fl
     return LanguageModel(names, codes, weights, trust.astype(np.float32))
 
 
-def fit(docs: DataFrame, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from rows that are not held out."""
     known = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
@@ -121,13 +124,18 @@ def fit(docs: DataFrame, per_language: int = 1000, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, g, profile(t).tobytes()) for i, g, t in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(t)]
+            rows = [(i, g, profile(t).astype(np.float16).tobytes()) for i, g, t in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["i", "g", "p"])
 
     rows = sorted(some.mapInArrow(run, "i string, g string, p binary").collect())
     if not rows:
         return LanguageModel([], np.zeros((0, 1), np.float32), np.zeros((BINS + 1, 1), np.float32), np.ones(1, np.float32))
-    return train(np.stack([np.frombuffer(r["p"], dtype=np.float32) for r in rows]), [r["g"] for r in rows])
+    names, profiles = [r["g"] for r in rows], np.empty((len(rows), BINS + 1), dtype=np.float32)
+    for k, r in enumerate(rows):
+        profiles[k, :BINS] = np.frombuffer(r["p"], dtype=np.float16)
+    profiles[:, BINS] = 1
+    del rows
+    return train(profiles, names)
 
 
 def guess(model: LanguageModel, texts: list[str | None], at_once: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -143,14 +151,17 @@ def guess(model: LanguageModel, texts: list[str | None], at_once: int = 256) ->
     return names, scores, leads
 
 
-def identify(docs: DataFrame, model: LanguageModel, least_lead: float = 0.02, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, least_lead: float = 0.02, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, at_once: int = 1000) -> DataFrame:
     """doc_id (with carry: all columns), lang_pred, score and ambiguous of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim, schema, _, text_at = id_and_text(docs, id_col, text_col, "lang_pred string, score double, ambiguous boolean", carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, leads = guess(shared.value, batch.column(text_at).to_pylist())
-            yield widened(batch, {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "ambiguous": pa.array(leads < least_lead)}, carry)
+            for at in range(0, batch.num_rows, at_once):
+                some = batch.slice(at, at_once)
+                names, scores, leads = guess(shared.value, some.column(text_at).to_pylist())
+                yield widened(some, {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "ambiguous": pa.array(leads < least_lead)}, carry)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return slim.mapInArrow(run, schema)

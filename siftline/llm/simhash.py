@@ -44,12 +44,13 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         return xxh64_intdigest(joined, 42)
     ends = list(accumulate([len(w) + 1 for w in found]))
     starts = [0, *ends[:-1]]
-    hashes = np.array([xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, ends[shingle - 1 :])], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), SLICE):
-        octets = hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8)
+    ones, count = np.zeros(64, dtype=np.int64), len(found) - shingle + 1
+    for at in range(0, count, SLICE):
+        some = zip(starts[at : min(at + SLICE, count)], ends[at + shingle - 1 :])
+        hashes = np.array([xxh64_intdigest(joined[a : b - 1], 42) for a, b in some], dtype="<u8")
+        octets = hashes.view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
 def block_masks(distance: int = 4, kept: int = 2) -> list[int]:

@@ -37,7 +37,7 @@ _WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028
 _UNSAFE = f" {_WHITE}|{_WHITE} |^ | $"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a segment and of a batch; pieces that are encoded in one call's text.
-SEGMENT, BATCH, GROUP = 1 << 21, 1 << 23, 48
+SEGMENT, BATCH, GROUP = 1 << 21, 1 << 22, 48
 
 
 def _segments(text: str) -> list[str]:
@@ -57,7 +57,7 @@ class PieceEncoder:
     ``entries`` pieces of at most ``longest`` characters.  numpy then lines the ids up.
     """
 
-    def __init__(self, path: str, entries: int = 1_000_000, longest: int = 32):
+    def __init__(self, path: str, entries: int = 800_000, longest: int = 32):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,8 +77,10 @@ class PieceEncoder:
             found = self._whole([" " + p for p in pieces])
             return np.concatenate(found), np.array([len(x) for x in found])
         groups = [pieces[at : at + GROUP] for at in range(0, len(pieces), GROUP)]
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
-        ids = [np.array(e.ids, dtype="<u4") for e in found]
+        ids: list[np.ndarray] = []
+        for at in range(0, len(groups), 300):
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups[at : at + 300]], add_special_tokens=False)
+            ids += [np.array(e.ids, dtype="<u4") for e in found]
         joined = np.concatenate(ids)
         cuts = np.flatnonzero(self.opens[joined])
         if len(cuts) != len(pieces):  # not seen so far: a piece with a second token that begins like a first one
@@ -103,7 +105,7 @@ class PieceEncoder:
         """A pool of ids, and each piece's place and size in it."""
         numbers = pc.fill_null(pc.index_in(pieces, self.cache), -1).to_numpy()
         late = np.flatnonzero(numbers < 0)
-        starts, sizes = self.starts[numbers].astype(np.int64), self.sizes[numbers].astype(np.int64)
+        starts, sizes = self.starts[numbers], self.sizes[numbers]
         pool = self.pool[: self.used]
         if len(late):
             missing = pieces.take(pa.array(late))
@@ -122,17 +124,19 @@ class PieceEncoder:
             pieces = pa.array(mixed, pa.large_list(pa.large_string()))
         bounds = np.asarray(pieces.offsets).astype(np.int64)
         coded = pieces.flatten().dictionary_encode()
-        word = np.asarray(coded.indices).astype(np.int64)
+        word = np.asarray(coded.indices)
         pool, starts, sizes = self._distinct(coded.dictionary)
         first = bounds[:-1]
         heads, which = np.unique(word[first], return_inverse=True)
         bare = self._whole(coded.dictionary.take(pa.array(heads)).to_pylist())  # without the space in front
-        own = np.array([len(x) for x in bare], dtype=np.int64)
+        own = np.array([len(x) for x in bare], dtype=np.int32)
         begin, size = starts[word], sizes[word]
         begin[first], size[first] = (len(pool) + np.cumsum(own) - own)[which], own[which]
         pool = np.concatenate([pool, *bare])
-        ends = np.append(0, np.cumsum(size))
-        ids = pool[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        ends = np.append(0, np.cumsum(size, dtype=np.int32))
+        at = np.repeat(begin - ends[:-1], size)
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = pool[at]
         data, edges = ids.tobytes(), (ends[bounds] * 4).tolist()
         return [data[a:b] for a, b in zip(edges, edges[1:])]
 
@@ -156,13 +160,14 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, at_once: int = 4000) -> Iterator[tuple[list, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, at_once: int = 1500) -> Iterator[tuple[list, list[bytes]]]:
     """For batches of (id, text): ids and the documents' token bytes with the end id."""
     encoder, end = piece_encoder(tokenizer), struct.pack("<I", end_id)
     for batch in batches:
         for at in range(0, batch.num_rows, at_once):
             some = batch.slice(at, at_once)
             yield some.column(0).to_pylist(), [x + end for x in encoder.encode(some.column(1).to_pylist())]
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 class FrameWriter:
