@@ -191,8 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, id_col: str
     marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id")
     found = text_statistics(chosen.select("doc_id", "text")).join(F.broadcast(marked), "doc_id")
-    rows = found.where(~base_failed()).select("doc_id", "y", *[feature(n).alias(f"f_{n}") for n in FEATURES]).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
+    # filtered after collect(): a filter on statistics would be pushed below the join and computed for every document
+    rows = found.select("doc_id", "y", base_failed().alias("failed"), *[feature(n).alias(f"f_{n}") for n in FEATURES]).collect()
+    rows = sorted((r for r in rows if not r["failed"]), key=lambda r: r["doc_id"])
     return learn_rules([({n: r[f"f_{n}"] for n in FEATURES}, r["y"] == 0) for r in rows])
 
 
