@@ -146,8 +146,9 @@ def _names(attributes: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=50_000)
-def _element_features(tag: str, attributes: str) -> tuple[str, ...]:
-    return ("element", f"tag {tag}", *(f"name {x}" for x in sorted(set(_names(attributes))))) if attributes else ("element", f"tag {tag}")
+def _element_features(tag: str, attributes: str, above: str) -> tuple[str, ...]:
+    names = (f"name {x}" for x in sorted(set(_names(attributes)))) if attributes else ()
+    return ("element", f"tag {tag}", f"{tag} in {above}", *names)
 
 
 def _text_features(page: Page, k: int) -> tuple[str, ...]:
@@ -167,7 +168,7 @@ class Forest:
                 parent.append(p + base if p >= 0 else -1)
                 text = page.text[k] is not None
                 is_text.append(text)
-                for f in _text_features(page, k) if text else _element_features(page.tag[k], page.attributes[k]):
+                for f in _text_features(page, k) if text else _element_features(page.tag[k], page.attributes[k], page.tag[p] if p >= 0 else ""):
                     number = vocabulary.setdefault(f, len(vocabulary)) if grow else vocabulary.get(f)
                     if number is not None:
                         node_of.append(k + base)
@@ -245,7 +246,7 @@ def train(examples: list[tuple[Page, np.ndarray]], steps: int = 150, rate: float
 
 
 @functools.cache
-def fitted(fit_pages: int = 800, seed: int = 11) -> TreeModel:
+def fitted(fit_pages: int = 1000, seed: int = 11) -> TreeModel:
     return train([labelled_page(seed * 1_000_000 + k)[:2] for k in range(fit_pages)])
 
 

@@ -19,6 +19,9 @@ AD_NAMES = ("ad", "ads", "advert", "advertisement", "ad-slot", "adsbygoogle", "s
 COMMENT_NAMES = ("comments", "comment", "comment-list", "reader-comments", "replies", "reply", "discussion", "disqus", "respond", "thread", "feedback", "responses")
 FORM_NAMES = ("search", "search-form", "login", "login-form", "contact-form", "form", "newsletter-form", "signup-form", "poll")
 
+#: Roles that stand for these parts.
+ROLES = {NAV_NAMES: ("navigation",), HEADER_NAMES: ("banner",), FOOTER_NAMES: ("contentinfo",), SIDE_NAMES: ("complementary",), NOTICE_NAMES: ("dialog", "alert"), FORM_NAMES: ("search",), CONTENT_NAMES: ("main", "article")}
+
 Run = tuple[str, bool]
 
 
@@ -51,6 +54,8 @@ class PageMaker:
 
     def attributes(self, names: tuple[str, ...]) -> str:
         r = self.rng
+        if names in ROLES and r.random() < 0.15:
+            return f' role="{r.choice(ROLES[names])}"'
         name = r.choice(names)
         name += r.choice(("", "", "", "-1", "_wrap", " clearfix", " box col"))
         return f' {r.choice(("class", "class", "id"))}="{name}"' + (' data-x="1"' if r.random() < 0.1 else "")
@@ -105,41 +110,56 @@ class PageMaker:
         if kind == "ad":
             return boxed(r.choice(("div", "div", "div", "section", "aside")), AD_NAMES, [line()] if r.random() < 0.6 else paragraphs(1, 2))
         if kind == "comments":
-            inner = [x for _ in range(r.randint(1, 4)) for x in (off(f'<{"li" if r.random() < 0.4 else "div"} class="{r.choice(COMMENT_NAMES)}">'), line(), off("<p>"), line(), off("</p></div>"))]
+            inner = [x for _ in range(r.randint(1, 4)) for x in (off(f'<{r.choice(("li", "li", "div", "div", "article"))} class="{r.choice(COMMENT_NAMES)}">'), line(), off("<p>"), line(), off("</p></div></article>"))]
             return boxed(r.choice(("section", "div", "div", "ol")), COMMENT_NAMES, [off("<h3>"), line(1, 3), off("</h3>"), *inner])
+        if kind == "hidden":
+            return [off(r.choice(("<p hidden>", '<p style="display:none">', '<div aria-hidden="true">', '<div class="hidden">'))), line(), off("</p></div>")]
         if kind == "form":
             inner = [off("<label>"), line(1, 3), off('</label><input name="q"><select><option>'), line(1, 2), off("</option></select><button>"), line(1, 2), off("</button>")]
             return boxed("form", FORM_NAMES, ([off("<p>"), line(1, 12), off("</p>")] if r.random() < 0.5 else []) + inner)
         return [off(r.choice(('<script>var t="</p>";track(1);</script>', "<style>p{margin:0}</style>", "<noscript><p>Turn it on</p></noscript>", "<!-- <p>gone</p> -->", '<iframe src="x"></iframe>')))]
 
+    def _inside(self) -> list[Run]:
+        """The article: a heading, blocks, and junk among them."""
+        r = self.rng
+        heading: list[Run] = [(f"<h{r.choice((1, 1, 1, 2))}>", True), (self.inline(self.words(1, 10)), True), ("</h1></h2>", True)] if r.random() < 0.8 else []
+        if heading and r.random() < 0.1:
+            heading = [("<header>", True), *heading, ("</header>", True)]
+        out = heading
+        blocks = r.choice((1, 1, 2, 2, 3, 4, 6, 9, 14, 40, 90))
+        self.longest = 3 if r.random() < 0.2 else 60
+        for _ in range(blocks):
+            if r.random() < min(0.25, 1.5 / blocks):
+                out += self.junk(r.choice(("ad", "ad", "notice", "side", "side", "form", "code", "nav", "hidden")))
+            out += self.block()
+        if r.random() < 0.15:
+            out += self.junk(r.choice(("comments", "footer", "side", "form")))
+        return out
+
+    def _some(self, chances: dict[str, float]) -> list[str]:
+        return [k for k, p in chances.items() if self.rng.random() < p]
+
     def runs(self) -> list[Run]:
         """The runs of one page."""
         r = self.rng
-        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
-        named = tag in ("div", "section", "td") or r.random() < 0.3
-        inside: list[Run] = [("<h1>", True), (self.inline(self.words(1, 10)), True), ("</h1>", True)] if r.random() < 0.8 else []
-        blocks = r.choice((1, 1, 2, 3, 4, 6, 9, 14, 40, 90))
-        self.longest = 3 if r.random() < 0.25 else 60
-        for _ in range(blocks):
-            inside += self.block()
-            if r.random() < min(0.08, 1 / blocks):
-                inside += self.junk(r.choice(("ad", "notice", "side", "form", "code", "nav")))
-        if r.random() < 0.1:
-            inside += self.junk("comments")
+        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td", "body", "bare"))
+        named = tag in ("div", "section", "td") or (tag in ("article", "main") and r.random() < 0.3)
         opened, closed = f"<{tag}{self.attributes(CONTENT_NAMES) if named else ''}>", f"</{tag}>"
         if tag == "td":
             opened, closed = f"<table><tr>{opened}", "</td></tr></table>"
         if tag == "article" and r.random() < 0.3:
             opened, closed = f"<main>{opened}", f"{closed}</main>"
-        before = [k for k in ("header", "nav", "code", "notice", "ad", "side", "form") if r.random() < (0.35, 0.7, 0.3, 0.25, 0.5, 0.15, 0.15)[("header", "nav", "code", "notice", "ad", "side", "form").index(k)]]
-        after = [k for k in ("side", "ad", "comments", "form", "nav", "notice", "code", "footer") if r.random() < (0.3, 0.2, 0.3, 0.15, 0.1, 0.15, 0.2, 0.8)[("side", "ad", "comments", "form", "nav", "notice", "code", "footer").index(k)]]
+        if tag == "bare":
+            opened, closed = "<div>", "</div>"
+        before = self._some({"header": 0.35, "nav": 0.7, "code": 0.3, "notice": 0.25, "ad": 0.5, "side": 0.15, "form": 0.15})
+        after = self._some({"side": 0.3, "ad": 0.2, "comments": 0.3, "form": 0.15, "nav": 0.1, "notice": 0.15, "code": 0.2, "footer": 0.8})
         r.shuffle(before)
-        out: list[Run] = [("<!DOCTYPE html><html><head><title>x</title><style>p{margin:0}</style></head><body>", False)]
-        wrapped = r.random() < 0.3
-        out += [('<div id="wrapper" class="page container">', False)] if wrapped else []
+        out: list[Run] = [("<!DOCTYPE html><html><head><title>x</title><style>p{margin:0}</style></head>", False), ("<body>", tag == "body")]
+        wrapped = tag != "body" and r.random() < 0.3
+        out += [(r.choice(('<div id="wrapper" class="page container">', '<div class="container"><div class="row">', '<div id="page">')), False)] if wrapped else []
         for k in before:
             out += self.junk(k)
-        out += [(opened, True), *inside, (closed, True)]
+        out += self._inside() if tag == "body" else [(opened, True), *self._inside(), (closed, True)]
         for k in after:
             out += self.junk(k)
         out += [("</div>", False)] if wrapped else []
