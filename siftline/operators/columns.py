@@ -69,7 +69,9 @@ def merged(columns: Mapping[str, Column], how: str | Sequence[str]) -> Column:
 
 
 def merge_columns(df: DataFrame, columns: Sequence[str], how: str | Sequence[str], name: str, drop: bool = True) -> DataFrame:
-    one = merged({c: F.col(f"`{c}`") for c in columns}, how)
+    arrays = {c for c, kind in df.dtypes if kind.startswith("array<")}
+    cells = {c: F.when(has_value(F.col(f"`{c}`")), F.col(f"`{c}`")) if c in arrays else F.col(f"`{c}`") for c in columns}
+    one = merged(cells, how)
     kept = [F.col(f"`{c}`") for c in df.columns if not (drop and c in columns)]
     return unique_names(df.select(*kept, one.alias(name)))
 

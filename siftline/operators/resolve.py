@@ -115,3 +115,23 @@ def accepted_of(found: DataFrame, accepted: DataFrame, key: str = "name_id") ->
     """A second lookup: the accepted name by a name's id, or the name itself where there is none."""
     joined = found.join(accepted.select(key, "accepted_name", "accepted_authors"), key, "left")
     return joined.withColumn("accepted_name", F.coalesce("accepted_name", "lib_name"))
+
+
+def projected(found: DataFrame, kind: str, keys: Sequence[str] = ("raw",)) -> DataFrame:
+    """keys and the fields of one of PROJECTIONS; what a service calls not stated is null."""
+    if kind not in PROJECTIONS:
+        raise ValueError(f"kind is one of {', '.join(PROJECTIONS)}, not {kind}")
+    texts = {c for c, t in found.dtypes if t == "string"}
+    cells = [F.when(F.col(c) != "not_stated", F.col(c)).alias(c) if c in texts else F.col(c) for c in PROJECTIONS[kind]]
+    return found.select(*keys, *cells)
+
+
+def tree_matches(queries: DataFrame, lib: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """For queries that are genera or families: raw with the first entry of lib (family, genus, ord) whose classification has the name."""
+    out = None
+    for rank, level in (("generic", "genus"), ("familial", "family")):
+        asked = queries.where(F.col("platform_rank") == rank)
+        first = lib.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("simple_name")).agg(F.min_by(F.struct("family", "genus", *carry), "ord").alias("b"))
+        hit = asked.join(first, "simple_name").select("raw", "b.*")
+        out = hit if out is None else out.unionByName(hit)
+    return out

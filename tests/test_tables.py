@@ -139,6 +139,21 @@ def test_resolution(spark):
     assert resolve.resolve(df, "q", table, {"n": "lib_name"}, only_hits=True).count() == 2
 
 
+def test_projections_and_trees(spark):
+    found = spark.createDataFrame([("q", "Poa", "not_stated", "Poaceae", "x")], "raw string, name string, authors string, family string, ipni_lsid string")
+    assert collected(resolve.projected(found, "ipniName")) == [("q", "Poa", None, "Poaceae", "x")]
+    with pytest.raises(ValueError):
+        resolve.projected(found, "other")
+    lib = spark.createDataFrame([("Poaceae", "Poa", 2), ("Poaceae", "Zea", 1)], "family string, genus string, ord long")
+    keys = resolve.query_keys(spark.createDataFrame([("Poa",), ("Poaceae",), ("Poa annua",)], "n string"), "n")
+    assert sorted(collected(resolve.tree_matches(keys, lib))) == [("Poa", "Poaceae", "Poa"), ("Poaceae", "Poaceae", "Zea")]
+
+
+def test_arrays_of_nulls_count_as_null(spark):
+    df = spark.createDataFrame([([None], "x"), ([None, "a"], "y")], "a array<string>, b string")
+    assert [r["m"] for r in cols.merge_columns(df, ["a", "b"], "o", "m").collect()] == ['{"b":"x"}', '{"a":[null,"a"],"b":"y"}']
+
+
 def test_validation(spark):
     record = "Occurrence struct<occurrenceID:string,catalogNumber:string,recordedBy:string,sex:string>, Location struct<country:string,decimalLatitude:double>, Record struct<basisOfRecord:string,dataFrom:string,rightsHolder:string,license:string>"
     good = (("urn:1", "PE01", "A", "male"), ("China", 10.0), ("s", "d", "r", "l"))
