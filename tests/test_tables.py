@@ -117,8 +117,9 @@ def test_ready_models(spark, name):
     df = spark.createDataFrame([tuple(OCCURRENCE.values())] * 2, ", ".join(f"{k} string" for k in OCCURRENCE))
     model = MODELS[name]({"typeStatus": {"holotype": ["holo"]}})
     out = model(df)
-    row = out.collect()[0].asDict(recursive=True)
-    assert len(out.columns) == len(set(out.columns)) and out.count() == 2
+    found = out.collect()
+    row = found[0].asDict(recursive=True)
+    assert len(out.columns) == len(set(out.columns)) and len(found) == 2
     if name == "nested_occurrence":
         assert row["Occurrence"]["occurrenceID"] == "!urn:12345" and row["Identification"][0]["typeStatus"] == "holotype" and row["Location"]["decimalLatitude"] == "39.5"
     if name == "herbarium_portal":
