@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import struct
 import zlib
@@ -37,7 +38,7 @@ _WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028
 _UNSAFE = f" {_WHITE}|{_WHITE} |^ | $"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a segment and of a batch; pieces that are encoded in one call's text.
-SEGMENT, BATCH, GROUP = 1 << 21, 1 << 22, 48
+SEGMENT, BATCH, GROUP = 1 << 21, 1 << 23, 128
 
 
 def _segments(text: str) -> list[str]:
@@ -57,7 +58,8 @@ class PieceEncoder:
     ``entries`` pieces of at most ``longest`` characters.  numpy then lines the ids up.
     """
 
-    def __init__(self, path: str, entries: int = 800_000, longest: int = 32):
+    def __init__(self, path: str, entries: int = 1_000_000, longest: int = 32):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,8 +80,8 @@ class PieceEncoder:
             return np.concatenate(found), np.array([len(x) for x in found])
         groups = [pieces[at : at + GROUP] for at in range(0, len(pieces), GROUP)]
         ids: list[np.ndarray] = []
-        for at in range(0, len(groups), 300):
-            found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups[at : at + 300]], add_special_tokens=False)
+        for at in range(0, len(groups), 100):
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups[at : at + 100]], add_special_tokens=False)
             ids += [np.array(e.ids, dtype="<u4") for e in found]
         joined = np.concatenate(ids)
         cuts = np.flatnonzero(self.opens[joined])
@@ -160,7 +162,7 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, at_once: int = 1500) -> Iterator[tuple[list, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, at_once: int = 2500) -> Iterator[tuple[list, list[bytes]]]:
     """For batches of (id, text): ids and the documents' token bytes with the end id."""
     encoder, end = piece_encoder(tokenizer), struct.pack("<I", end_id)
     for batch in batches:
