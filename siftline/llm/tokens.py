@@ -38,7 +38,7 @@ _WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028
 _UNSAFE = f" {_WHITE}|{_WHITE} |^ | $"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a segment and of a batch; pieces that are encoded in one call's text.
-SEGMENT, BATCH, GROUP = 1 << 21, 1 << 23, 128
+SEGMENT, BATCH, GROUP = 1 << 21, 10_000_000, 128
 
 
 def _segments(text: str) -> list[str]:
@@ -145,10 +145,12 @@ class PieceEncoder:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         parts = [_segments(t or "") for t in texts]
         flat, out, held, size = [s for p in parts for s in p], [], [], 0
+        total = sum(map(len, flat))
+        most = total / max(1, round(total / BATCH))  # batches alike: each has the cost of looking the cache up
         for segment in flat:
             held.append(segment)
             size += len(segment)
-            if size >= BATCH:
+            if size >= most:
                 out += self._encode(held)
                 held, size = [], 0
         out += self._encode(held) if held else []
@@ -162,7 +164,7 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, at_once: int = 2500) -> Iterator[tuple[list, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, at_once: int = 3000) -> Iterator[tuple[list, list[bytes]]]:
     """For batches of (id, text): ids and the documents' token bytes with the end id."""
     encoder, end = piece_encoder(tokenizer), struct.pack("<I", end_id)
     for batch in batches:
