@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Language ID drops documents without a letter or with an ambiguous language; toxicity drops those
-predicted toxic; SimHash keeps one document of each group of near-duplicates, the one with the
-smallest id; decontamination drops documents of which benchmark passages make up 5 % of the words;
+predicted toxic; SimHash keeps one row of each group of near-duplicates, the one with the
+smallest id, and of those the one with the smallest text; decontamination drops documents of which benchmark passages make up 5 % of the words;
 packing cuts and packs what is left.  Each stage's result is written as Parquet and read again.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, langid, packing, simhash, toxicity
-from siftline.llm.common import OWN, scratch, table
+from siftline.llm.common import scratch, table
 from siftline.llm.queries import tokenizer_path
 
 
@@ -28,13 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an id get one from their text, above all others, so that they are grouped as well."""
-    key = f"{OWN}key"
-    own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), own))
-    found = simhash.near_duplicates(keyed, id_col=key)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    """One row of each group of near-duplicates; rows that share an id but not their text are judged each by its own text."""
+    return simhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import OWN, checkpointed, id_and_text, scratch, widened
 from .components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -203,13 +203,45 @@ def near_links(codes: DataFrame, distance: int = 4, kept: int = 2) -> DataFrame:
     return placed.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
-    prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
+def _rooted(prints: DataFrame, distance: int) -> DataFrame:
+    """For each distinct code: code, root (the code that names its component) and least_id."""
     distinct = checkpointed(prints.groupBy("code").agg(F.min("doc_id").alias("least_id")))
     found = components(near_links(distinct.select("code"), distance))
     rooted = distinct.join(found.select(F.col("u").alias("code"), F.col("v").alias("root")), "code", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "code"))
+    return rooted.withColumn("root", F.coalesce("root", "code"))
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
+    prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
+    rooted = _rooted(prints, distance)
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(ids, "root").select("code", "component_id")
     return prints.join(named, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One whole row of each component: of the smallest id (rows without one come last), that of the smallest text.
+
+    An id may repeat with other texts: rows are told apart by their fingerprints, and components by
+    their roots, since two components can have the same smallest id.  The rows are written with
+    their fingerprints, so that these are made once.
+    """
+    code, least, root = f"{OWN}code", f"{OWN}least", f"{OWN}root"
+    slim, schema, _, text_at = id_and_text(docs, id_col, text_col, f"{code} long", True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(text_at)], dtype=np.uint64)
+            yield widened(batch, {code: pa.array(codes.view(np.int64))}, True)
+
+    path = scratch(docs.sparkSession, "coded")
+    slim.mapInArrow(run, schema).write.parquet(path)
+    coded = docs.sparkSession.read.schema(schema).parquet(path)
+    rooted = checkpointed(_rooted(coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(code).alias("code")), distance))
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias(least))
+    first = rooted.join(ids, "root").where(F.col("least_id").eqNullSafe(F.col(least))).select(F.col("code").alias(f"{code}2"), least, F.col("root").alias(root))
+    rows = coded.join(first, (F.col(code) == F.col(f"{code}2")) & F.col(id_col).cast("long").eqNullSafe(F.col(least)))
+    order = [text_col, *[c for c in docs.columns if c != text_col]]
+    best = rows.groupBy(root).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in order])).alias("row"))
+    return best.select(*[F.col(f"row.`{c}`") for c in docs.columns])

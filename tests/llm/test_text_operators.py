@@ -204,6 +204,35 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_component_survives(spark, docs, empty):
+    """Also where one id carries several texts, a third of all rows, and is the smallest of several components."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c = (made_text(rng, 200) for _ in range(3))
+    rows = [(7, a, "en", "s", 1), (7, b, "en", "s", 1), (3, b, "en", "s", 1), (9, a, "en", "s", 1), (8, c, "en", "s", 1), (8, c + " on", "en", "s", 1), (None, c, "en", "s", 1)]
+    rows += [(2000, made_text(rng, 80), "en", "s", k) for k in range(60)]
+    rows += [(None, made_text(rng, 80), "en", "s", k) for k in range(3)]
+    whole = docs.unionByName(spark.createDataFrame(rows, SCHEMA))
+    whole = whole.unionByName(whole.where("doc_id in (7, 2000)"))
+    held = [tuple(r) for r in whole.collect()]
+    prints = [plain_fingerprint(r[1]) for r in held]
+    root = list(range(len(held)))
+    for i in range(len(held)):
+        for j in range(i):
+            if root[i] != root[j] and (prints[i] ^ prints[j]).bit_count() <= 4:
+                root = [root[j] if x == root[i] else x for x in root]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")
+    expected = sorted((min((r for r, x in zip(held, root) if x == g), key=order)[:2] for g in set(root)), key=order)
+    found = corpus_pipeline.drop_near_duplicates(spark, whole, "")
+    assert found.columns == whole.columns
+    assert sorted((tuple(r)[:2] for r in found.collect()), key=order) == expected
+    assert sum(r[0] == 2000 for r in expected) == 60 and {(7, a), (3, b)} <= set(expected) and (7, b) not in expected
+    assert corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
+
+
 @given(st.integers(0, 2**32), st.integers(1, 4))
 @settings(max_examples=25, deadline=None)
 def test_gray_index_links_what_all_pairs_link(seed, spread):
