@@ -57,6 +57,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sample_place(doc_id: Column) -> Column:
+    """A place from 0 to 2**63 - 1 by a hash of the id."""
+    return F.xxhash64(doc_id).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def last_place(most: float, n: int) -> int:
+    """The last place of a sample of about ``most`` of n rows; never below 0, so that no share is rounded to nothing."""
+    return max(1, min(1 << 63, (int(most) << 63) // max(1, n))) - 1
+
+
 def running_offsets(counts: DataFrame, key: str, n: str, out: str, width: int = 4096) -> DataFrame:
     """For each key (a long from 0), the sum of n over all smaller keys.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text, widened
+from .common import held_out, id_and_text, last_place, sample_place, widened
 
 BINS_BITS = 12
 BINS = 1 << BINS_BITS
@@ -117,10 +117,10 @@ def fit(docs: DataFrame, per_language: int = 800, id_col: str = "doc_id", text_c
     sizes = known.groupBy("g").count().limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
-    part = F.lit(0)
+    part = F.lit(-1).cast("long")
     for g, n in sizes:
-        part = F.when(F.col("g") == g, F.lit(min(1_000_000, 1_000_000 * per_language // n))).otherwise(part)
-    some = known.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < part).select("i", "g", "t")
+        part = F.when(F.col("g") == g, F.lit(last_place(per_language, n))).otherwise(part)
+    some = known.where(sample_place(F.col("i")) <= part).select("i", "g", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, last_place, sample_place
 
 WINDOW = 5
 
@@ -187,8 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, id_col: str
     """Rules from the labelled rows that are not held out, of which about fit_rows are read."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     marked = marked.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("y"))
-    share = int(1e6 * fit_rows / max(1, marked.count()))
-    marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    marked = marked.where(sample_place(F.col("doc_id")) <= last_place(fit_rows, marked.count()))
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id")
     found = text_statistics(chosen.select("doc_id", "text")).join(F.broadcast(marked), "doc_id")
     # filtered after collect(): a filter on statistics would be pushed below the join and computed for every document

@@ -10,7 +10,7 @@ import pytest
 from helpers import SCHEMA, awkward_rows, made_text
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, html_extract, langid, quality, toxicity
+from siftline.llm import chat, common, html_extract, langid, quality, toxicity
 from siftline.llm.pagegen import PageMaker
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -127,6 +127,15 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_samples_of_huge_tables_are_not_empty(spark):
+    """The share of a sample, exactly, also above a thousand million rows; and that the hash follows it."""
+    for most, n in ((800, 10**9), (3000, 10**10), (12_000, 10**11), (800, 799_999_999), (5, 8), (9, 3)):
+        assert common.last_place(most, n) + 1 == min(2**63, most * 2**63 // n) > 0
+    ids = spark.range(200_000).withColumn("p", common.sample_place(F.col("id")))
+    assert ids.where(F.col("p") <= common.last_place(9, 3)).count() == 200_000
+    assert 1800 < ids.where(F.col("p") <= common.last_place(2000, 200_000)).count() < 2200
+
+
 def test_profile_does_not_depend_on_slices(monkeypatch):
     text = made_text(random.Random(3), 300)
     whole = langid.profile(text)
