@@ -3,7 +3,9 @@
 Statistics are built-in expressions over the whole text.  The list is fitted by sequential
 covering: conjunctions of thresholds are grown by information gain on two thirds of the labelled
 statistics and pruned on the rest; rules that hold there are kept in order, and become one ordered
-conditional expression.  Fitting reads at most about ``fit_rows`` labelled rows, chosen by a hash
+conditional expression.  Every midpoint between neighbouring values is a threshold, and neither the
+conditions of a rule nor the rules are capped: growth ends where nothing is gained, and the list with
+the first rule that fails the precision test.  Fitting reads at most about ``fit_rows`` labelled rows, chosen by a hash
 of the id; the rules then judge every row.
 
 Results in odd cases: a null text has no words, so it fails the base rule (fewer than ten words); an
@@ -14,10 +16,10 @@ columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,9 +107,6 @@ class Condition:
     above: bool
     threshold: float
 
-    def holds(self, row: dict[str, float]) -> bool:
-        return row[self.feature] > self.threshold if self.above else row[self.feature] <= self.threshold
-
     def column(self) -> Column:
         return feature(self.feature) > self.threshold if self.above else feature(self.feature) <= self.threshold
 
@@ -115,71 +114,75 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def _covers(rule: Rule, row: dict[str, float]) -> bool:
-    return all(c.holds(row) for c in rule)
-
-
-def _thresholds(values: list[float], most: int = 48) -> list[float]:
-    distinct = sorted(set(values))
-    middles = [(a + b) / 2 for a, b in zip(distinct, distinct[1:])]
-    step = max(1.0, len(middles) / most)
-    return [middles[int(k * step)] for k in range(min(most, len(middles)))]
+def _held(condition: Condition, x: np.ndarray) -> np.ndarray:
+    values = x[:, list(FEATURES).index(condition.feature)]
+    return values > condition.threshold if condition.above else values <= condition.threshold
 
 
-def _gain(p: int, n: int, before: float) -> float:
-    return p * (math.log2(p / (p + n)) - before) if p else 0.0
+def _covered(rule: Rule, x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), dtype=bool)
+    for c in rule:
+        out &= _held(c, x)
+    return out
 
 
-def _grow(rows: list[tuple[dict[str, float], bool]]) -> Rule:
+def _gains(p: np.ndarray, size: np.ndarray, before: float) -> np.ndarray:
+    return np.where(p > 0, p * (np.log2(np.maximum(p, 1) / np.maximum(size, 1)) - before), 0.0)
+
+
+def _best_condition(x: np.ndarray, y: np.ndarray) -> Condition | None:
+    """The condition of most gain, over the midpoints of all neighbouring distinct values of each feature."""
+    bad, best, best_gain = int(y.sum()), None, 1e-9
+    before = np.log2(bad / len(y))
+    for k, name in enumerate(FEATURES):
+        order = np.argsort(x[:, k], kind="stable")
+        values, p = x[order, k], np.cumsum(y[order])
+        last = np.flatnonzero(values[1:] > values[:-1])  # the last row at or below each cut
+        if not len(last):
+            continue
+        for above, hits, size in ((False, p[last], last + 1), (True, bad - p[last], len(y) - last - 1)):
+            gains = _gains(hits, size, before)
+            at = int(gains.argmax())
+            if gains[at] > best_gain:
+                low, high = float(values[last[at]]), float(values[last[at] + 1])
+                middle = (low + high) / 2
+                best, best_gain = Condition(name, above, middle if middle < high else low), float(gains[at])
+    return best
+
+
+def _grow(x: np.ndarray, y: np.ndarray) -> Rule:
+    """Conditions until the rows are all bad or no condition gains."""
     rule: Rule = ()
-    while len(rule) < 5:
-        bad = sum(y for _, y in rows)
-        if not bad or bad == len(rows):
-            break
-        before = math.log2(bad / len(rows))
-        best, best_gain = None, 1e-9
-        for name in FEATURES:
-            ordered = sorted((x[name], y) for x, y in rows)
-            values = [v for v, _ in ordered]
-            cuts, at, p = _thresholds(values), 0, 0
-            for t in cuts:
-                while at < len(ordered) and ordered[at][0] <= t:
-                    p += ordered[at][1]
-                    at += 1
-                for above, hits, size in ((False, p, at), (True, bad - p, len(ordered) - at)):
-                    if (gain := _gain(hits, size - hits, before)) > best_gain:
-                        best, best_gain = Condition(name, above, t), gain
-        if best is None:
-            break
+    while y.any() and not y.all() and (best := _best_condition(x, y)):
         rule += (best,)
-        rows = [r for r in rows if best.holds(r[0])]
+        inside = _held(best, x)
+        x, y = x[inside], y[inside]
     return rule
 
 
-def _worth(rule: Rule, rows: list[tuple[dict[str, float], bool]]) -> tuple[float, int]:
+def _worth(rule: Rule, x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
     """Precision by Laplace's estimate, and rows covered."""
-    hit = [y for x, y in rows if _covers(rule, x)]
-    return (sum(hit) + 1) / (len(hit) + 2), len(hit)
+    hit = y[_covered(rule, x)]
+    return (int(hit.sum()) + 1) / (len(hit) + 2), len(hit)
 
 
-def learn_rules(rows: list[tuple[dict[str, float], bool]], precision: float = 0.9, least: int = 3, most: int = 24) -> list[Rule]:
-    """An ordered list of rules for rows that are bad (True)."""
-    grow = [r for k, r in enumerate(rows) if k % 3]
-    prune = [r for k, r in enumerate(rows) if k % 3 == 0]
+def learn_rules(rows: list[tuple[dict[str, float], bool]], precision: float = 0.9, least: int = 3) -> list[Rule]:
+    """An ordered list of rules for rows that are bad (True), until a rule fails the precision test or no bad row is left."""
+    x = np.array([[r[n] for n in FEATURES] for r, _ in rows], dtype=float).reshape(len(rows), len(FEATURES))
+    y, at = np.array([bad for _, bad in rows], dtype=bool), np.arange(len(rows)) % 3
+    grow, prune = (x[at > 0], y[at > 0]), (x[at == 0], y[at == 0])
     rules: list[Rule] = []
-    while len(rules) < most and any(y for _, y in grow):
-        rule = _grow(grow)
+    while grow[1].any():
+        rule = _grow(*grow)
         if not rule:
             break
         choices = [rule[:k] for k in range(1, len(rule) + 1)]
-        rule = max(choices, key=lambda r: (_worth(r, prune)[0], -len(r)))
-        worth, covered = _worth(rule, prune)
-        if worth >= precision * (covered + 1) / (covered + 2) and covered >= least and _worth(rule, grow)[0] >= precision:
-            rules.append(rule)
-            prune = [r for r in prune if not _covers(rule, r[0])]
-            grow = [r for r in grow if not _covers(rule, r[0])]
-        else:
+        rule = max(choices, key=lambda r: (_worth(r, *prune)[0], -len(r)))
+        worth, covered = _worth(rule, *prune)
+        if not (worth >= precision * (covered + 1) / (covered + 2) and covered >= least and _worth(rule, *grow)[0] >= precision):
             break
+        rules.append(rule)
+        grow, prune = (tuple(v[~_covered(rule, part[0])] for v in part) for part in (grow, prune))
     return rules
 
 

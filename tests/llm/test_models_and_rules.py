@@ -93,6 +93,17 @@ def test_quality_rules_are_learned(spark):
         assert r["kept"] == (not r["base_failed"]) and r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
 
 
+def test_quality_rules_separate_small_tails_and_many_groups():
+    """The top 1/200 of one feature by one condition, and more than 24 rules."""
+    plain = dict.fromkeys(quality.FEATURES, 0.0)
+    tail = [(plain | {"n_words": float(k)}, k >= 5970) for k in range(6000)]
+    ((only,),) = quality.learn_rules(tail)
+    assert only.above and 5969 <= only.threshold < 5971
+    groups = [(plain | {"n_words": float(k)}, k // 60 % 2 == 1) for k in range(3600)]
+    rules = quality.learn_rules(groups)
+    assert len(rules) > 24
+
+
 LANGUAGES = {"en": "the of and thing ering ation wh", "de": "der und sch ung keit ein ü", "fr": "le que eau ée ment è oi", "es": "la ción que os ñ ado ó"}
 
 
