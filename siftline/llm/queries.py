@@ -44,8 +44,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
-    sharding.write_shards(sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40), path)
-    shards = spark.read.schema("doc_id long, text string, position long, slot long, shard int").parquet(path)
+    sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    sharding.write_shards(sharded, path)
+    shards = spark.read.schema(sharded.schema).parquet(path)
     return shards.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),

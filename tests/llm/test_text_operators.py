@@ -161,6 +161,18 @@ def test_shards_are_written_and_read(spark, docs):
     assert spark.read.parquet(path).groupBy("shard").count().count() == 3
 
 
+def test_query_shards_every_column(spark, docs, tmp_path, monkeypatch):
+    from siftline.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    path = str(tmp_path / "shards")
+    monkeypatch.setattr(queries, "scratch", lambda *_: path)
+    found = queries.op6_sharding(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and found.count() == docs.count()
+    written = spark.read.parquet(path).select(*docs.columns)
+    assert collections.Counter(map(tuple, written.collect())) == collections.Counter(map(tuple, docs.collect()))
+
+
 def test_fisher_yates_is_uniform():
     seen = collections.Counter(tuple(sharding.fisher_yates(3, (1, k)).tolist()) for k in range(6000))
     assert len(seen) == 6 and all(800 < n < 1200 for n in seen.values())
