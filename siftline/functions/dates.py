@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .flags import flagged, found, let
+from .flags import Cell, Staging, flagged, found, looked_up
 
 #: Texts that stand for an unknown date.
 UNKNOWN = ("0000-01-01 00:00:02", "9999-01-01 00:00:00", "1970-01-01 00:00:00", "0000-01-01 00:00:00")
@@ -14,6 +17,17 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
 STYLES = ("num", "date", "datetime", "utc")
 _ISO = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?$"
+#: One number that is not zero among zeros.
+_LONELY = r"^[^A-Za-z0-9]*(?:0+[^A-Za-z0-9]+)*+([0-9]+)(?:[^A-Za-z0-9]+0+)*[^A-Za-z0-9]*$"
+
+
+class _Parts(NamedTuple):
+    """Year, month and day so far (null where missing), and whether the elements make no date."""
+
+    year: Column
+    month: Column
+    day: Column
+    bad: Column
 
 
 def _month_numbers() -> dict[str, int]:
@@ -23,74 +37,87 @@ def _month_numbers() -> dict[str, int]:
     return out | {"APRI": 4, "Apri": 4, "SEPT": 9, "Sept": 9}
 
 
-def _elements(text: Column) -> Column:
-    """The date's elements as an array of int; a null element, or a null array, is no date."""
-    alias = F.create_map(*[F.lit(x) for pair in _month_numbers().items() for x in pair])
-
-    def cut(tokens: Column) -> Column:
-        one, size = F.get(tokens, F.lit(0)), F.size(tokens)
-        length = F.length(one)
-        whole = F.substring(one, 1, 4), F.substring(one, 5, 2), F.substring(one, 7, 2)
-        single = F.when(length == 4, F.array(one)).when(length == 6, F.array(*whole[:2])).when(length == 8, F.array(*whole))
-        return F.when(size == 6, F.slice(tokens, 1, 3)).when(size == 1, single).when(size > 0, tokens)
-
-    return F.transform(let(found(text, "[A-Za-z]+|[0-9]+"), cut), lambda t: F.coalesce(t.try_cast("int"), F.get(F.array(alias[t]), F.lit(0))))
-
-
-def _classified(values: Column, this_year: Column) -> Column:
-    """Year, month and day (null where missing) of an array of elements; bad where they make no date."""
-    size, second, third = F.size(values), F.get(values, F.lit(1)), F.get(values, F.lit(2))
+def _elements(stage: Staging, text: Column) -> tuple[Column, list[Column]]:
+    """How many elements there are (null: none that could be a date), and the first three, as int."""
+    tokens = stage.one(found(text, "[A-Za-z]+|[0-9]+"))
+    many = stage.keep(size=F.size(tokens), t0=F.get(tokens, F.lit(0)), t1=F.get(tokens, F.lit(1)), t2=F.get(tokens, F.lit(2)))
+    digits = stage.keep(length=F.when(many.size == 1, F.length(many.t0)))
+    split = digits.length.isin(6, 8)
+    cut = stage.keep(
+        size=F.when(many.size.isin(2, 3), many.size).when(many.size == 6, 3).when(many.size == 1, F.when(digits.length == 4, 1).when(digits.length == 6, 2).when(digits.length == 8, 3)).when(many.size > 0, 1),
+        t0=F.when(split, F.substring(many.t0, 1, 4)).when(~many.size.isin(1, 2, 3, 6), F.regexp_extract(text, _LONELY, 1)).otherwise(many.t0),
+        t1=F.when(split, F.substring(many.t0, 5, 2)).otherwise(many.t1), t2=F.when(digits.length == 8, F.substring(many.t0, 7, 2)).otherwise(many.t2),
+    )
+    value = lambda t: F.when(t < ":", t.try_cast("int")).otherwise(looked_up(t, _month_numbers()))
+    whole = stage.keep(v0=value(cut.t0), v1=value(cut.t1), v2=value(cut.t2))
+    return cut.size, [whole.v0, whole.v1, whole.v2]
+
+
+def _role(s: _Parts, k: int, value: Column, size: Column, values: Sequence[Column], this_year: Column) -> Column:
+    """What the element at place k is, given those before it: year, short year, month, day, none or bad."""
+    second, third = values[1], values[2]
+    if k == 1:
+        of_three = F.when(value < 13, "month").otherwise("bad")
+    else:
+        of_three = F.when(s.year.isNotNull() | F.coalesce(third > 31, F.lit(False)), "day").otherwise("bad")
+    of_two = (
+        F.when(value > 12, F.when(s.year.isNull() & (s.month.isNotNull() | (second < 13)), "short year").otherwise("bad"))
+        .when(s.year.isNotNull() | (second > 12), "month")
+        .otherwise("bad")
+    )
+    first_year = F.when(s.year.isNull(), F.when(value > 1599, "year").otherwise("short year")).otherwise("bad")
+    return (
+        F.when(s.bad | value.isNull() | (value > this_year), "bad")
+        .when(value > 1599, first_year)
+        .when(value > 99, "bad")
+        .when(value > 31, first_year)
+        .when(value == 0, "none")
+        .when(size == 3, of_three)
+        .when(size == 2, of_two)
+        .otherwise("bad")
+    )
+
+
+def _classified(stage: Staging, size: Column, values: Sequence[Column], this_year: Column) -> _Parts:
+    """Each element in turn becomes the year, the month or the day."""
     none = F.lit(None).cast("int")
-    start = F.struct(F.lit(0).alias("k"), none.alias("y"), none.alias("m"), none.alias("d"), F.lit(False).alias("bad"))
-
-    def step(s: Column, v: Column) -> Column:
-        y, m = s["y"], s["m"]
-        of_three = (
-            F.when(s["k"] == 1, F.when(v < 13, F.lit("month")).otherwise(F.lit("bad")))
-            .when(y.isNotNull() | F.coalesce(third > 31, F.lit(False)), F.lit("day"))
-            .otherwise(F.lit("bad"))
-        )
-        of_two = (
-            F.when(v > 12, F.when(y.isNull() & (m.isNotNull() | (second < 13)), F.lit("short year")).otherwise(F.lit("bad")))
-            .when(y.isNotNull() | (second > 12), F.lit("month"))
-            .otherwise(F.lit("bad"))
+    so_far = _Parts(none, none, none, F.coalesce(size, F.lit(0)) == 0)
+    for k, value in enumerate(values):
+        there = size > k
+        role = stage.one(F.when(there, _role(so_far, k, value, size, values, this_year)))
+        now = stage.keep(
+            year=F.when(role == "year", value).when(role == "short year", value + 1900).otherwise(so_far.year),
+            month=F.when(role == "month", value).otherwise(so_far.month),
+            day=F.when(role == "day", value).otherwise(so_far.day),
+            bad=F.coalesce(role == "bad", F.lit(False)) | so_far.bad,
         )
-        role = (
-            F.when(s["bad"] | v.isNull() | (v > this_year), F.lit("bad"))
-            .when(v > 1599, F.when(y.isNull(), F.lit("year")).otherwise(F.lit("bad")))
-            .when(v > 99, F.lit("bad"))
-            .when(v > 31, F.when(y.isNull(), F.lit("short year")).otherwise(F.lit("bad")))
-            .when(v == 0, F.lit("none"))
-            .when(size == 3, of_three)
-            .when(size == 2, of_two)
-            .otherwise(F.lit("bad"))
-        )
-        return let(role, lambda r: F.struct(
-            (s["k"] + 1).alias("k"),
-            F.when(r == "year", v).when(r == "short year", v + 1900).otherwise(y).alias("y"),
-            F.when(r == "month", v).otherwise(m).alias("m"),
-            F.when(r == "day", v).otherwise(s["d"]).alias("d"),
-            (r == "bad").alias("bad"),
-        ))
+        so_far = _Parts(now.year, now.month, now.day, now.bad)
+    return so_far
+
 
-    return F.aggregate(values, start, step)
+def _real(p: _Parts) -> Column:
+    """Whether a full date is in the calendar."""
+    leap = (p.year % 4 == 0) & ((p.year % 100 != 0) | (p.year % 400 == 0))
+    last = F.when(p.month.isin(4, 6, 9, 11), 30).when(p.month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    return p.month.between(1, 12) & p.day.between(1, last)
 
 
-def _written(p: Column, style: str, timezone: str) -> Column:
-    y, m, d = p["y"], p["m"], p["d"]
-    no_month, no_day = m.isNull(), d.isNull()
+def _written(p: _Parts, style: str, timezone: str) -> Column:
+    text = lambda c: c.cast("string")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    year, no_month, no_day = text(p.year), p.month.isNull(), p.day.isNull()
     if style == "num":
-        return F.format_string("%d%02d%02d", y, F.coalesce(m, F.lit(0)), F.when(no_month, 0).otherwise(F.coalesce(d, F.lit(0))))
-    if style == "date":
-        return F.when(no_month, F.format_string("%d-01-01", y)).when(no_day, F.format_string("%d-%d-01", y, m)).otherwise(F.format_string("%d-%d-%d", y, m, d))
-    if style == "datetime":
-        return F.when(no_month, F.format_string("%d-01-01 00:00:02", y)).when(no_day, F.format_string("%d-%d-01 00:00:01", y, m)).otherwise(F.format_string("%d-%d-%d 00:00:00", y, m, d))
-    shown = F.when(no_month, F.format_string("%d-01-01T00:00:02", y)).when(no_day, F.format_string("%d-%02d-01T00:00:01", y, m)).otherwise(F.format_string("%d-%02d-%02dT00:00:00", y, m, d))
-    return F.concat(shown, F.lit(timezone))
+        zero = F.lit("00")
+        return F.concat(year, F.coalesce(two(p.month), zero), F.when(no_month, zero).otherwise(F.coalesce(two(p.day), zero)))
+    shown = two if style == "utc" else text
+    mark = {"date": ("", "", ""), "datetime": (" 00:00:00", " 00:00:01", " 00:00:02"), "utc": tuple(f"T00:00:0{k}{timezone}" for k in range(3))}[style]
+    dash = F.lit("-")
+    whole = F.concat(year, dash, shown(p.month), dash, shown(p.day), F.lit(mark[0]))
+    return F.when(no_month, F.concat(year, F.lit("-01-01" + mark[2]))).when(no_day, F.concat(year, dash, shown(p.month), F.lit("-01" + mark[1]))).otherwise(whole)
 
 
-def format_date(text: Column, style: str = "num", timezone: str = "+08:00", mark: bool = True, as_of: Column | None = None) -> Column:
-    """A date in one of STYLES, as struct<value, issue>.
+def format_date(stage: Staging, text: Column, style: str = "num", timezone: str = "+08:00", mark: bool = True, as_of: Column | None = None) -> Cell:
+    """A date in one of STYLES.
 
     Missing days and months are allowed; in the styles datetime and utc the seconds 00, 01 and 02
     tell a full date, one without day and one without month.  as_of bounds the date (default: today).
@@ -99,23 +126,20 @@ def format_date(text: Column, style: str = "num", timezone: str = "+08:00", mark
         raise ValueError(f"style is one of {', '.join(STYLES)}, not {style}")
     as_of = F.current_date() if as_of is None else as_of
     raw = text.cast("string")
-    shown = F.when(~raw.isin(*UNKNOWN), raw)
-    day, minutes, seconds = (F.regexp_extract(shown, _ISO, k) for k in (1, 2, 3))
-    is_iso = F.try_to_date(F.when(day != "", day)).isNotNull() & ~minutes.startswith("00") & (F.substring(minutes, 1, 2) < "24")
-    clock = F.concat(minutes, F.when(seconds == "", F.lit(":00")).otherwise(seconds))
-    iso = {"num": F.replace(day, F.lit("-"), F.lit("")), "date": day, "datetime": F.concat(day, F.lit(" "), clock), "utc": F.concat(day, F.lit("T"), clock, F.lit(timezone))}[style]
-
-    def judged(p: Column) -> Column:
-        full = p["m"].isNotNull() & p["d"].isNotNull()
-        real = F.try_to_date(F.format_string("%d-%d-%d", p["y"], p["m"], p["d"]), "yyyy-M-d")
-        good = ~p["bad"] & p["y"].isNotNull() & (~full | F.coalesce(real <= as_of, F.lit(False)))
-        return F.when(good, _written(p, style, timezone))
-
-    def parsed(values: Column) -> Column:
-        return F.when(F.size(values) > 0, let(_classified(values, F.year(as_of)), judged))
-
-    value = F.when(F.coalesce(is_iso, F.lit(False)), iso).otherwise(let(_elements(shown), parsed))
-    return let(value, lambda v: flagged(v, v.isNull(), shown, mark))
+    shown = stage.one(F.when(~raw.isin(*UNKNOWN), raw))
+    long = F.length(shown) > 15
+    iso = stage.keep(**{n: F.when(long, F.regexp_extract(shown, _ISO, k)) for k, n in enumerate(("day", "minutes", "seconds"), 1)})
+    with_time = F.try_to_date(F.when(iso.day != "", iso.day)).isNotNull() & ~iso.minutes.startswith("00") & (F.substring(iso.minutes, 1, 2) < "24")
+    clock = F.concat(iso.minutes, F.when(iso.seconds == "", F.lit(":00")).otherwise(iso.seconds))
+    known = {"num": F.replace(iso.day, F.lit("-"), F.lit("")), "date": iso.day, "datetime": F.concat(iso.day, F.lit(" "), clock), "utc": F.concat(iso.day, F.lit("T"), clock, F.lit(timezone))}[style]
+    has_time = stage.one(F.coalesce(with_time, F.lit(False)))
+    size, values = _elements(stage, F.when(~has_time, shown))
+    p = _classified(stage, size, values, F.year(as_of))
+    before = p.year * 10000 + p.month * 100 + p.day <= F.year(as_of) * 10000 + F.month(as_of) * 100 + F.dayofmonth(as_of)
+    full = p.month.isNotNull() & p.day.isNotNull()
+    good = stage.one(F.coalesce(~p.bad & p.year.isNotNull() & (~full | (_real(p) & before)), F.lit(False)))
+    value = stage.one(F.when(has_time, known).when(good, _written(p, style, timezone)))
+    return flagged(value, value.isNull(), shown, mark)
 
 
 def to_utc(text: Column, zone: str) -> Column:

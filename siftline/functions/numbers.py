@@ -2,52 +2,62 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .flags import flagged, found, let
+from .flags import Cell, Staging, ascii_digits, flagged, found
 
-#: Fixed value: a number; a sign counts at the start of the text alone.
-NUMBER = r"^[+-]?\d+(?:\.\d+)?|\d+(?:\.\d+)?"
+_FIGURES = r"[0-9]+(?:\.[0-9]+)?"
+#: A sign counts at the start of the text alone.
+NUMBER = rf"^[+-]?{_FIGURES}|{_FIGURES}"
 
 
-def numbers_in(text: Column) -> Column:
-    """All numbers as an array of double; empty for null."""
-    each = F.transform(found(text.cast("string"), NUMBER), lambda x: x.try_cast("double"))
-    return F.coalesce(each, F.array().cast("array<double>"))
+class Range(NamedTuple):
+    low: Cell
+    high: Cell
 
 
-def _typed(value: Column, kind: str) -> Column:
-    return value.try_cast("long") if kind == "int" else value
+class _Numbers(NamedTuple):
+    """How many numbers texts hold, and the first two."""
 
+    count: Column
+    first: Column
+    second: Column
 
-def number(text: Column, kind: str = "float", least: float = -423, most: float = 8848, mark: bool = True) -> Column:
-    """The one number of a text, as struct<value, issue>; several, none or one out of range is an issue."""
 
-    def one(n: Column) -> Column:
-        value = F.get(n, F.lit(0))
-        good = (F.size(n) == 1) & value.between(least, most)
-        return flagged(_typed(value, kind), ~F.coalesce(good, F.lit(False)), text.cast("string"), mark)
+def _numbers(stage: Staging, *texts: Column) -> _Numbers:
+    plain = [F.coalesce(ascii_digits(t.cast("string")), F.lit("")) for t in texts]
+    each = stage.keep(**{f"n{k}": found(t, NUMBER) for k, t in enumerate(plain)})
+    tokens = [getattr(each, f"n{k}") for k in range(len(texts))]
+    every = stage.one(F.concat(*tokens)) if len(tokens) > 1 else tokens[0]
+    got = stage.keep(count=F.size(every), first=F.get(every, F.lit(0)).try_cast("double"), second=F.get(every, F.lit(1)).try_cast("double"))
+    return _Numbers(got.count, got.first, got.second)
 
-    return let(numbers_in(text), one)
 
+def _typed(value: Column, kind: str) -> Column:
+    return value.try_cast("long") if kind == "int" else value
 
-def number_range(low: Column, high: Column, kind: str = "float", least: float = -423, most: float = 8848, mark: bool = True) -> Column:
-    """struct<low, high>, each struct<value, issue>, of the numbers in two columns together.
+
+def number(stage: Staging, text: Column, kind: str = "float", least: float = -423, most: float = 8848, mark: bool = True) -> Cell:
+    """The one number of a text; several, none or one out of range is an issue."""
+    n = _numbers(stage, text)
+    good = stage.one(F.coalesce((n.count == 1) & (n.first >= least) & (n.first <= most), F.lit(False)))
+    return flagged(_typed(n.first, kind), ~good, text.cast("string"), mark)
+
+
+def number_range(stage: Staging, low: Column, high: Column, kind: str = "float", least: float = -423, most: float = 8848, mark: bool = True) -> Range:
+    """The ends of the numbers in two columns together.
 
     Two numbers are put in order, but a zero after a larger number only repeats that number; one
     number is both ends.  A column that fails keeps its own raw text.
     """
-
-    def both(n: Column) -> Column:
-        first, second = F.get(n, F.lit(0)), F.get(n, F.lit(1))
-        one = (F.size(n) == 1) & first.between(least, most)
-        two = (F.size(n) == 2) & first.between(least, most) & second.between(least, most)
-        same = one | (two & (second == 0) & (second < first))
-        bottom = F.when(same, first).when(two, F.least(first, second))
-        top = F.when(same, first).when(two, F.greatest(first, second))
-        failed = ~F.coalesce(one | two, F.lit(False))
-        ends = [(c, flagged(_typed(v, kind), failed, raw.cast("string"), mark)) for c, v, raw in (("low", bottom, low), ("high", top, high))]
-        return F.struct(*[e.alias(c) for c, e in ends])
-
-    return let(F.concat(numbers_in(low), numbers_in(high)), both)
+    n = _numbers(stage, low, high)
+    inside = [F.coalesce((v >= least) & (v <= most), F.lit(False)) for v in (n.first, n.second)]
+    k = stage.keep(one=(n.count == 1) & inside[0], two=(n.count == 2) & inside[0] & inside[1])
+    same = k.one | (k.two & (n.second == 0) & (n.second < n.first))
+    ends = stage.keep(
+        low=F.when(same, n.first).when(k.two, F.least(n.first, n.second)), high=F.when(same, n.first).when(k.two, F.greatest(n.first, n.second)), failed=~(k.one | k.two),
+    )
+    return Range(*[flagged(_typed(v, kind), ends.failed, raw.cast("string"), mark) for v, raw in ((ends.low, low), (ends.high, high))])

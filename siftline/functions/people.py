@@ -1,38 +1,50 @@
-"""Names of persons in free text."""
+"""Names of persons in free text.
+
+A text is cut into runs of one script, Chinese or Latin, each with the id that may follow it; whatever
+else there is separates names.  Runs are then trimmed to what can begin and end a name.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .flags import flagged, found, let
+from .flags import Cell, Staging, flagged, found
 
-#: A name in Chinese or Latin script with an optional id, and words for no name.
-NAME = r"[一-龥\s]*[一-龥][\|\d]*|[A-Za-z\(\[][A-Za-zÀ-ÿ'\.\s\-\]\(\)]*[A-Za-zÀ-ÿ'\.\]\)][\|\d]*"
+#: Characters of names in the two scripts, and words for no name.
+CHINESE, LATIN = "一-龥", r"A-Za-zÀ-ÿ'.()\]\-"
 NOBODY = ("无", "缺失", "佚名")
+_SPACE, _ID = r"\p{IsWhite_Space}", r"[|\p{Nd}]"
+
+
+def _run(script: str) -> str:
+    """A run of one script, with spaces inside, and an id."""
+    return rf"[{script}{_SPACE}]*[{script}]{_ID}*"
+
+
+_RUN = rf"{_run(CHINESE)}|\[?{_run(LATIN)}"
+#: What a Latin name cannot begin or end with; an id after such an end is none.
+_HEAD, _TAIL = rf"^[^A-Za-z(\[{CHINESE}]+", rf"[(\-{_SPACE}]+{_ID}*$"
 
 
 def _western(name: Column) -> Column:
     """Single spaces, and one after each full stop but the last."""
-    return F.rtrim(F.regexp_replace(F.regexp_replace(name, " {2,}", " "), r"\.\s*", ". "))
+    return F.rtrim(F.regexp_replace(F.regexp_replace(name, " {2,}", " "), rf"\.{_SPACE}*", ". "))
 
 
-def person_names(text: Column, separator: str = "，") -> Column:
-    """All names of a text, joined by the separator, as struct<value, issue>."""
+def person_names(stage: Staging, text: Column, separator: str = "，") -> Cell:
+    """All names of a text, joined by the separator."""
     raw = text.cast("string")
-
-    def joined(names: Column) -> Column:
-        has_id = lambda x: x.rlike(r"[\|\d]") & ~x.rlike(r"[a-z一-龥]\|\d")
-        cjk = lambda x: x.rlike(r"[一-龥]")
-        bad = F.exists(names, lambda x: has_id(x) | (~cjk(x) & (F.length(x) < 2)))
-        first = F.get(names, F.lit(0))
-        short = F.coalesce(cjk(first) & (F.length(first) == 1), F.lit(False))
-        shown = F.transform(names, lambda x: F.when(~cjk(x), _western(x)).when(F.length(x) > 2, F.replace(x, F.lit(" "), F.lit(""))).otherwise(x))
-        nobody = (F.size(names) == 1) & first.isin(*NOBODY)
-        failed = (bad | short) & ~F.coalesce(nobody, F.lit(False))
-        return flagged(F.when(~F.coalesce(nobody, F.lit(False)), F.array_join(shown, separator)), failed, raw)
-
-    return let(F.transform(found(raw, NAME), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), joined)
+    trimmed = F.transform(found(raw, _RUN), lambda x: F.regexp_replace(F.regexp_replace(x, _HEAD, ""), _TAIL, ""))
+    is_name = lambda x: x.rlike(rf"^[{CHINESE}]|^.[^|\p{{Nd}}]")
+    names = stage.one(F.filter(trimmed, is_name))
+    cjk = lambda x: x.rlike(f"[{CHINESE}]")
+    wrong_id = lambda x: x.rlike(_ID) & ~x.rlike(rf"[a-z{CHINESE}]\|\p{{Nd}}")
+    shown = F.transform(names, lambda x: F.when(~cjk(x), _western(x)).when(F.length(x) > 2, F.replace(x, F.lit(" "), F.lit(""))).otherwise(x))
+    k = stage.keep(bad=F.exists(names, wrong_id), first=F.get(names, F.lit(0)), size=F.size(names))
+    nobody = stage.one(F.coalesce((k.size == 1) & k.first.isin(*NOBODY), F.lit(False)))
+    short = F.coalesce(cjk(k.first) & (F.length(k.first) == 1), F.lit(False))
+    return flagged(F.when(~nobody, F.array_join(shown, separator)), (k.bad | short) & ~nobody, raw)
 
 
 def without_ids(text: Column) -> Column:

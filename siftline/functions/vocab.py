@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .flags import looked_up
+
 Vocabulary = Mapping[str, Sequence[str]]
-#: Up to so many entries a vocabulary is a literal map; beyond, a table to join.
-LITERAL_ENTRIES = 2000
+#: Up to so many entries a vocabulary is constant arrays that a row is compared with; beyond, a table to join.
+LITERAL_ENTRIES = 300
 
 
 def load_vocabularies(path: str) -> dict[str, Vocabulary]:
@@ -28,6 +30,12 @@ def lookup(vocabulary: Vocabulary) -> dict[str, str]:
     return out
 
 
+def as_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """The vocabulary as a table (standard, alias, ord); a standard term without aliases is its own."""
+    pairs = [(standard, alias) for standard, aliases in vocabulary.items() for alias in aliases or [standard]]
+    return spark.createDataFrame([(s, a, k) for k, (s, a) in enumerate(pairs)], "standard string, alias string, ord long")
+
+
 def _unmatched(raw: Column, known: Column, on_unmatched: str) -> Column:
     if on_unmatched not in ("keep", "flag", "null"):
         raise ValueError(f"on_unmatched is keep, flag or null, not {on_unmatched}")
@@ -39,8 +47,8 @@ def standardised(text: Column, vocabulary: Vocabulary, on_unmatched: str = "keep
     """Values by a vocabulary of at most LITERAL_ENTRIES entries."""
     entries, raw = lookup(vocabulary), text.cast("string")
     if len(entries) > LITERAL_ENTRIES:
-        raise ValueError("join a vocabulary of this size with standardise_by_table()")
-    known = F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])[raw] if entries else F.lit(None).cast("string")
+        raise ValueError("join a vocabulary of this size with standardise_by_table(); RadioInput in a model does")
+    known = looked_up(raw, entries) if entries else F.lit(None).cast("string")
     return _unmatched(raw, known, on_unmatched)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SCRIPT = (r"^\s*[一-龥][一-龥[^\p{L}\p{N}_]]*", r"^[^一-龥]+")
 DIGITS = (r"^\s*[0-9][0-9[^\p{L}\p{N}_]]*", r"^[^0-9]+")
 MODES = ("d", "l", "o", "a", "r", "t")
+_JSON_GAP = r'\G((?:[^":,]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)([:,])'
 
 
 def _cut(rest: Column, separator: str) -> tuple[Column, Column]:
@@ -41,6 +42,11 @@ def split_column(df: DataFrame, column: str, separators: str | Sequence[str], na
     return unique_names(df.select(*kept, *[p.alias(n) for p, n in zip(parts, names)]))
 
 
+def json_text(value: Column) -> Column:
+    """JSON with a space after each colon and comma outside of strings."""
+    return F.regexp_replace(F.to_json(value), _JSON_GAP, "$1$2 ")
+
+
 def merged(columns: Mapping[str, Column], how: str | Sequence[str]) -> Column:
     """Several columns as one, without nulls; null if all are null.
 
@@ -59,9 +65,9 @@ def merged(columns: Mapping[str, Column], how: str | Sequence[str]) -> Column:
         return F.when(some, F.struct(*[c.alias(k) for k, c in columns.items()]))
     if how in ("l", "a"):
         values = F.array_compact(F.array(*cells))
-        return F.when(some, values if how == "l" else F.to_json(values))
+        return F.when(some, values if how == "l" else json_text(values))
     if how == "o":
-        return F.when(some, F.to_json(F.struct(*[c.alias(k) for k, c in columns.items()])))
+        return F.when(some, json_text(F.struct(*[c.alias(k) for k, c in columns.items()])))
     if how in ("r", "t"):
         pairs = F.array_compact(F.array(*[F.concat(F.lit(f"{k}："), c.cast("string")) for k, c in columns.items()]))
         return F.when(some, F.array_join(pairs, "\n" if how == "r" else "；"))

@@ -30,13 +30,14 @@ def code_parts(start: str) -> tuple[str, int, int]:
     return start[:at] + start[at + len(digits[-1]) :], int(digits[-1]), len(digits[-1])
 
 
-def running_number(df: DataFrame, order_by: Sequence[str], name: str = "number") -> DataFrame:
+def running_number(df: DataFrame, order_by: Sequence[str], name: str = "number", rows_a_task: int = 1_000_000) -> DataFrame:
     """Numbers from 0 in the order of columns, without bringing all rows to one task.
 
-    Rows are range-partitioned and numbered inside partitions; the partitions' sizes, one row each,
-    give the offsets.
+    Rows are range-partitioned, about rows_a_task each, and numbered inside partitions; the
+    partitions' sizes, one row each, give the offsets.
     """
-    ordered = df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_a_task))
+    ordered = df.repartitionByRange(parts, *[F.col(c) for c in order_by]).sortWithinPartitions(*order_by)
     placed = checkpointed(ordered.withColumn("__part", F.spark_partition_id()))  # else partitions could be cut anew
     local = placed.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order_by)) - 1)
     sizes = local.groupBy("__part").agg((F.max("__at") + 1).cast("long").alias("__n"))
@@ -104,3 +105,26 @@ def pages(labels: DataFrame, order_by: Sequence[str], columns: int = 2, rows: in
     sheet = numbered.groupBy("page").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     body = F.concat(F.lit('<section class="page">'), F.array_join(F.transform("cells", lambda c: c["h"]), ""), F.lit("</section>"))
     return sheet.select("page", body.alias("html"), F.lit(height).alias("label_height"))
+
+
+def style_sheet(label_height: float, columns: int = 2, rows: int = 3) -> str:
+    """A style sheet for pages of columns x rows labels, one printed sheet a page."""
+    return (
+        f".page {{ display: grid; grid-template-columns: repeat({columns}, 1fr); page-break-after: always; }}\n"
+        f".label {{ min-height: {label_height:.4f}mm; overflow: hidden; border: 0.25mm dashed #e6e6e6; }}\n"
+        f".page .label:nth-child({columns}n) {{ border-right: none; }}\n@page {{ size: auto; margin: 0; }}\n"
+    )
+
+
+def write_document(sheets: DataFrame, path: str, columns: int = 2, rows: int = 3, style: str | None = None) -> int:
+    """One HTML file on the driver of all pages in order, written page by page; gives their number."""
+    n = 0
+    with open(path, "w", encoding="utf-8") as out:
+        out.write('<!DOCTYPE html><html><head><meta charset="utf-8">')
+        for sheet in sheets.orderBy("page").toLocalIterator():
+            if n == 0:
+                out.write(f"<style>{style or style_sheet(sheet['label_height'], columns, rows)}</style></head><body>")
+            out.write(sheet["html"])
+            n += 1
+        out.write("</body></html>" if n else "</head><body></body></html>")
+    return n

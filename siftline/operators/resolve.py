@@ -12,56 +12,72 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.authors import same_authors
-from ..functions.taxon import parsed_name
+from ..functions.authors import with_scores
+from ..functions.flags import Staging
+from ..functions.taxon import parsed_name, styled_name
 
-#: What each provider's answers hold.
+#: What each provider's answers hold, by the names of sources.answers.
 PROJECTIONS = {
     "powoImages": ("images",),
-    "powoAccepted": ("accepted_name", "accepted_authors"),
-    "powoName": ("name", "authors", "family", "ipni_lsid"),
-    "colAccepted": ("accepted_name", "accepted_authors"),
+    "powoAccepted": ("accepted_name",),
+    "powoName": ("lib_name", "lib_authors", "family", "ipni_lsid"),
+    "colAccepted": ("accepted_name",),
     "colSynonyms": ("synonyms",),
-    "colTaxonTree": ("kingdom", "phylum", "class", "order", "family", "genus"),
-    "colName": ("name", "authors", "family", "code"),
-    "ipniName": ("name", "authors", "family", "ipni_lsid"),
-    "ipniReference": ("publishing_author", "publication_year", "publication", "reference", "type_location", "type_holder", "type_collection", "type_date", "bhl"),
-    "tropicosName": ("name", "authors", "family", "name_id"),
-    "tropicosAccepted": ("accepted_name", "accepted_authors", "accepted_family"),
+    "colTaxonTree": ("genus", "family", "order", "class", "phylum", "kingdom"),
+    "colName": ("lib_name", "lib_authors", "family", "name_code"),
+    "ipniName": ("lib_name", "lib_authors", "family", "ipni_lsid"),
+    "ipniReference": ("publishing_author", "publication", "reference_collation", "publication_year", "publication_year_note", "reference_remarks", "reference", "bhl_link", "linked_publication"),
+    "tropicosName": ("lib_name", "lib_authors", "family", "name_id"),
+    "tropicosAccepted": ("accepted_name",),
 }
 
 
 def query_keys(names: DataFrame, column: str) -> DataFrame:
     """Distinct names with raw, simple_name, authors and platform_rank."""
     distinct = names.select(F.col(column).alias("raw")).where("raw is not null").distinct()
-    parsed = distinct.withColumn("p", parsed_name(F.col("raw")))
-    return parsed.select("raw", "p.simple_name", "p.authors", "p.platform_rank")
+    stage = Staging("__name")
+    name = parsed_name(stage, F.col("raw"))
+    return stage.select(distinct, "raw", name.simple_name.alias("simple_name"), name.authors.alias("authors"), name.platform_rank.alias("platform_rank"))
 
 
 def lookup_table(lib: DataFrame, name: str, order: str, carry: Sequence[str] = ()) -> DataFrame:
     """A provider's names, parsed once: lib_name, simple_name, lib_authors, ord and carried columns."""
-    parsed = lib.withColumn("p", parsed_name(F.col(name)))
-    return parsed.select(F.col(name).alias("lib_name"), "p.simple_name", F.col("p.authors").alias("lib_authors"), F.col(order).alias("ord"), *carry)
+    stage = Staging("__name")
+    p = parsed_name(stage, F.col(name))
+    return stage.select(lib, F.col(name).alias("lib_name"), p.simple_name.alias("simple_name"), p.authors.alias("lib_authors"), F.col(order).alias("ord"), *carry)
 
 
-def best_candidates(queries: DataFrame, lib: DataFrame, priority: Column | None = None, prefix: bool = True, carry: Sequence[str] = ()) -> DataFrame:
-    """raw with its best candidate: lib_name, score and carried columns; queries without one are missing.
+def _best(joined: DataFrame, priority: Column | None, carry: Sequence[str]) -> DataFrame:
+    """For queries with their candidates: raw with its best one.
 
     With authors in the query: the highest author score above zero, earlier entries first among
     equals.  Without: the lowest priority (default: the first entry).
     """
-    joined = queries.join(lib, "simple_name")
-    if prefix:
-        joined = joined.where(F.col("lib_name").startswith(F.col("simple_name")))
     named = F.col("authors").isNotNull()
-    joined = joined.withColumn("score", F.when(named, same_authors(F.col("authors"), F.coalesce("lib_authors", F.lit("")))))
-    joined = joined.where(~named | (F.col("score") > 0))
+    scored = with_scores(joined, "authors", "lib_authors", "score").where(~named | (F.col("score") > 0))
     first = F.when(named, F.lit(0)).otherwise(F.lit(0) if priority is None else priority)
     rank = F.struct((-F.coalesce("score", F.lit(0.0))).alias("s"), first.alias("p"), F.col("ord").alias("o"))
-    best = joined.groupBy("raw").agg(F.min_by(F.struct("lib_name", "score", *carry), rank).alias("b"))
+    best = scored.groupBy("raw").agg(F.min_by(F.struct("lib_name", "score", *carry), rank).alias("b"))
     return best.select("raw", "b.*")
 
 
+def best_candidates(queries: DataFrame, lib: DataFrame, priority: Column | None = None, prefix: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """raw with its best candidate in a table: lib_name, score and carried columns; queries without one are missing."""
+    joined = queries.join(lib, "simple_name")
+    return _best(joined.where(F.col("lib_name").startswith(F.col("simple_name"))) if prefix else joined, priority, carry)
+
+
+def best_answers(queries: DataFrame, answers: DataFrame, service: str, carry: Sequence[str] = ()) -> DataFrame:
+    """raw with the best of a service's answers to it (raw, lib_name, lib_authors, ord, ...).
+
+    Answers of another name than the one asked for do not count, but for the service that compares
+    names itself.
+    """
+    joined = queries.join(answers, "raw")
+    same = joined if service in EXACT_SERVICES else joined.where(F.col("lib_name") == F.col("simple_name"))
+    return _best(same, PRIORITIES[service](), carry)
+
+
 def resolve(df: DataFrame, column: str, lib: DataFrame, outputs: Mapping[str, str], priority: Column | None = None, mark: bool = False, only_hits: bool = False) -> DataFrame:
     """df with the outputs {new column: column of the best candidate}; misses are null, or flagged in the first output."""
     carry = [c for c in outputs.values() if c not in ("lib_name", "score")]
@@ -102,6 +118,8 @@ def priority_of(column: Column, order: Sequence[str | None]) -> Column:
     return out
 
 
+#: Services that are asked for exact names, so that theirs need not be compared.
+EXACT_SERVICES = ("tropicos",)
 #: Which of several candidates a provider gives for a name without authors.
 PRIORITIES = {
     "ipni": lambda: F.lit(0),
@@ -112,9 +130,9 @@ PRIORITIES = {
 
 
 def accepted_of(found: DataFrame, accepted: DataFrame, key: str = "name_id") -> DataFrame:
-    """A second lookup: the accepted name by a name's id, or the name itself where there is none."""
-    joined = found.join(accepted.select(key, "accepted_name", "accepted_authors"), key, "left")
-    return joined.withColumn("accepted_name", F.coalesce("accepted_name", "lib_name"))
+    """A second lookup: the accepted name by a name's id, or the name itself with its authors where there is none."""
+    joined = found.join(accepted.select(key, "accepted_name"), key, "left")
+    return joined.withColumn("accepted_name", F.coalesce("accepted_name", "full_name"))
 
 
 def projected(found: DataFrame, kind: str, keys: Sequence[str] = ("raw",)) -> DataFrame:
@@ -135,3 +153,14 @@ def tree_matches(queries: DataFrame, lib: DataFrame, carry: Sequence[str] = ())
         hit = asked.join(first, "simple_name").select("raw", "b.*")
         out = hit if out is None else out.unionByName(hit)
     return out
+
+
+def spell_checked(df: DataFrame, column: str, libs: Sequence[tuple[str, DataFrame]], outputs: Sequence[str], style: str = "scientificName", mark: bool = True) -> DataFrame:
+    """df with its names as the first of libs (name, table) spells them, in a style; a name that none has is flagged in the first output, or null."""
+    checked = resolve_cascade(df, column, libs, "__std")
+    stage = Staging("__styled")
+    parts = styled_name(stage, F.col("__std"), style)
+    missing = F.col("__std").isNull() & F.lit(mark)
+    parts[0] = F.when(missing, F.concat(F.lit("!"), F.col(f"`{column}`"))).otherwise(parts[0])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in outputs]
+    return stage.select(checked, *kept, *[p.alias(n) for p, n in zip(parts, outputs)])

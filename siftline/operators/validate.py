@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import json_text
+
 READY, CHECK, INVALID = "ready", "needcheck", "unvalid"
 
 
@@ -83,7 +85,7 @@ def split_people(names: Column, separator: str = ", ") -> Column:
 def text_or_none(records: Column, unknown: str = "unknown") -> Column:
     """A list of lists as JSON text, or null if the first item of the first is the word for unknown."""
     first = F.get(F.get(records, F.lit(0)), F.lit(0))
-    return F.when(~F.coalesce(first == unknown, F.lit(False)), F.to_json(records))
+    return F.when(~F.coalesce(first == unknown, F.lit(False)), json_text(records))
 
 
 def _text(**more) -> dict:

@@ -8,46 +8,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import admin, dates, geo, numbers, people, taxon, urls, vocab
-from ..functions.flags import let, rendered
+from ..functions.flags import Staging
 from ..operators.rows import mark_duplicates
-from .dsl import ifunc, tfunc
+from .dsl import ifunc, is_reference, sfunc, tfunc
 
 
-@ifunc
-def DateTime(text: Column, style: str = "num", timezone: str = "+08:00", mark: bool = True, as_of: Column | None = None) -> Column:
-    return rendered(dates.format_date(text, style, timezone, mark, as_of))
+@sfunc
+def DateTime(stage: Staging, text: Column, style: str = "num", timezone: str = "+08:00", mark: bool = True, as_of: Column | None = None) -> Column:
+    return dates.format_date(stage, text, style, timezone, mark, as_of).shown()
 
 
-@ifunc
-def Number(low: Column, high: Column | None = None, kind: str = "float", least: float = -423, most: float = 8848, mark: bool = True) -> Column | list[Column]:
+@sfunc
+def Number(stage: Staging, low: Column, high: Column | None = None, kind: str = "float", least: float = -423, most: float = 8848, mark: bool = True) -> Column | list[Column]:
     if high is None:
-        return rendered(numbers.number(low, kind, least, most, mark))
-    both = numbers.number_range(low, high, kind, least, most, mark)
-    return [let(both, lambda b: rendered(b["low"])), let(both, lambda b: rendered(b["high"]))]
+        return numbers.number(stage, low, kind, least, most, mark).shown()
+    return [end.shown() for end in numbers.number_range(stage, low, high, kind, least, most, mark)]
 
 
-@ifunc
-def GeoCoordinate(text: Column) -> list[Column]:
-    both = geo.coordinates(text)
-    return [let(both, lambda b: rendered(b["latitude"])), let(both, lambda b: rendered(b["longitude"]))]
+@sfunc
+def GeoCoordinate(stage: Staging, text: Column) -> list[Column]:
+    return [part.shown() for part in geo.coordinates(stage, text)]
 
 
-@ifunc
-def HumanName(text: Column, separator: str = "，") -> Column:
-    return rendered(people.person_names(text, separator))
+@sfunc
+def HumanName(stage: Staging, text: Column, separator: str = "，") -> Column:
+    return people.person_names(stage, text, separator).shown()
 
 
-@ifunc
-def BioName(text: Column, style: str = "scientificName") -> Column | list[Column]:
-    name, fields = taxon.styled_name(text, style), taxon.STYLES[style]
-    return name if len(fields) == 1 else [name[f] for f in fields]
+@sfunc
+def BioName(stage: Staging, text: Column, style: str = "scientificName") -> list[Column]:
+    return taxon.styled_name(stage, text, style)
+
+
+def RadioInput(text, vocabulary: vocab.Vocabulary, on_unmatched: str = "keep"):
+    """Values by a vocabulary; one of many entries is joined as a table."""
+    if is_reference(text) and len(vocab.lookup(vocabulary)) > vocab.LITERAL_ENTRIES:
+        return _joined_vocabulary(text, vocabulary=vocabulary, on_unmatched=on_unmatched)
+    return _literal_vocabulary(text, vocabulary, on_unmatched)
 
 
 @ifunc
-def RadioInput(text: Column, vocabulary: vocab.Vocabulary, on_unmatched: str = "keep") -> Column:
+def _literal_vocabulary(text: Column, vocabulary: vocab.Vocabulary, on_unmatched: str) -> Column:
     return vocab.standardised(text, vocabulary, on_unmatched)
 
 
+@tfunc
+def _joined_vocabulary(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], vocabulary: vocab.Vocabulary, on_unmatched: str) -> DataFrame:
+    out = df if outputs[0] == inputs[0] else df.withColumn(outputs[0], F.col(inputs[0]))
+    return vocab.standardise_by_table(out, outputs[0], vocab.as_table(df.sparkSession, vocabulary), on_unmatched)
+
+
 @ifunc
 def FillNa(text: Column, value: str = "") -> Column:
     return F.coalesce(text, F.lit(value).cast("string")) if value is not None else text
@@ -59,7 +69,7 @@ def Url(text: Column) -> Column:
 
 
 @tfunc
-def AdminDiv(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], gazetteer: Sequence[str] = ()) -> DataFrame:
+def AdminDiv(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], gazetteer: Sequence[str] | DataFrame = ()) -> DataFrame:
     return admin.match_divisions(df, inputs[0], gazetteer, outputs)
 
 

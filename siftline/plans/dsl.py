@@ -10,6 +10,7 @@ into projections before any data are read.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from enum import EnumMeta
@@ -18,7 +19,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.columns import MODES, final_columns, merged, split_parts
+from ..functions.flags import Staging
+from ..operators.columns import MODES, final_columns, has_value, merged, split_parts
 
 
 class ModelError(ValueError):
@@ -32,6 +34,7 @@ class Deferred:
     function: Callable
     args: tuple
     kwargs: Mapping[str, Any]
+    staged: bool = False
 
 
 def is_reference(value: Any) -> bool:
@@ -56,6 +59,20 @@ def ifunc(function: Callable) -> Callable:
     return lifted
 
 
+def sfunc(function: Callable) -> Callable:
+    """Lift a cleaner that keeps its steps in a Staging, its first argument; outside a model, give it as stage=."""
+
+    @functools.wraps(function)
+    def lifted(*args, stage: Staging | None = None, **kwargs):
+        if any(map(is_reference, (*args, *kwargs.values()))):
+            return Deferred(function, args, kwargs, staged=True)
+        if stage is None:
+            raise ModelError(f"{function.__name__} needs references, or columns and a stage")
+        return function(stage, *args, **kwargs)
+
+    return lifted
+
+
 def tfunc(function: Callable) -> Callable:
     """Lift a function of a table: (df, input names, output names, **kwargs) gives the table with the outputs."""
 
@@ -83,17 +100,24 @@ def parse_field(name: str, value: Any) -> Field:
 
 @dataclass
 class Step:
-    """One projection: new columns, and columns that go."""
+    """One projection: new columns, columns that go, and projections before it that only it reads."""
 
     new: dict[str, Column]
     drop: set[str] = field(default_factory=set)
     table: Callable[[DataFrame], DataFrame] | None = None
     used: set[str] = field(default_factory=set)
+    before: list[dict[str, Column]] = field(default_factory=list)
+
+    def staging(self) -> Staging:
+        out = Staging(cut=4 if len(self.before[0]) < 8 else 1)
+        out.levels = self.before
+        return out
 
 
 class _Compiler:
-    def __init__(self, columns: Sequence[str]):
-        self.columns = list(columns)
+    def __init__(self, columns: Sequence[str], arrays: Sequence[str] = ()):
+        self.columns, self.arrays = list(columns), set(arrays)
+        self.stage, self.stages = Staging("__s0"), 0
 
     def known(self, reference: str) -> str | None:
         if not (isinstance(reference, str) and reference.startswith("$")):
@@ -118,7 +142,8 @@ class _Compiler:
             if isinstance(how, tuple):
                 gaps = [how[min(references.index(f"${n}"), len(how)) - 1] for n in present[1:]]
                 how = gaps
-            return [merged({n: F.col(f"`{n}`") for n in present}, how)], set(present)
+            cells = {n: F.when(has_value(F.col(f"`{n}`")), F.col(f"`{n}`")) if n in self.arrays else F.col(f"`{n}`") for n in present}
+            return [merged(cells, how)], set(present)
         if isinstance(expression, dict):
             if len(expression) != 1:
                 raise ModelError(f"{expression} has not one key")
@@ -146,7 +171,8 @@ class _Compiler:
                 value = found[0][0]
             arguments.append(value)
         n = len(deferred.args)
-        result = deferred.function(*arguments[:n], **dict(zip(deferred.kwargs, arguments[n:])))
+        first = (self.stage,) if deferred.staged else ()
+        result = deferred.function(*first, *arguments[:n], **dict(zip(deferred.kwargs, arguments[n:])))
         return (list(result) if isinstance(result, (list, tuple)) else [result]), used
 
     def on_table(self, item: Field) -> Step | None:
@@ -164,7 +190,8 @@ class _Compiler:
             if None in names:
                 return None
             cells, used, inputs = [], set(names), names
-        drop = {u for u in used if item.drop and u not in item.outputs and (cells or u == inputs[0])}
+        taken = {o.lower() for o in item.outputs}
+        drop = {u for u in used if item.drop and u.lower() not in taken and (cells or u == inputs[0])}
         self.columns = [c for c in self.columns if c not in drop and c not in item.outputs] + item.outputs
 
         def run(df: DataFrame) -> DataFrame:
@@ -177,6 +204,8 @@ class _Compiler:
     def step(self, item: Field) -> Step | None:
         if isinstance(item.value, Deferred) and "__table" in item.value.kwargs:
             return self.on_table(item)
+        self.stages += 1
+        self.stage = Staging(f"__s{self.stages}")
         found = self.value(item.value)
         if found is None:
             return None
@@ -186,7 +215,8 @@ class _Compiler:
         new = dict(zip(item.outputs, results))
         drop = {u for u in used if item.drop and u not in new}
         self.columns = [c for c in self.columns if c not in drop and c not in new] + list(new)
-        return Step(new, drop, used=set(used))
+        self.arrays -= drop | set(new)
+        return Step(new, drop, used=set(used), before=self.stage.levels)
 
 
 def levels(steps: Sequence[Step]) -> list[Step]:
@@ -195,10 +225,11 @@ def levels(steps: Sequence[Step]) -> list[Step]:
     for step in steps:
         last = out[-1] if out else None
         if last is None or step.table or last.table or (step.used | set(step.new)) & set(last.new):
-            out.append(Step(dict(step.new), set(step.drop), step.table, set(step.used)))
+            out.append(Step(dict(step.new), set(step.drop), step.table, set(step.used), [dict(x) for x in step.before]))
         else:
             last.new |= step.new
             last.drop |= step.drop
+            last.before = [a | b for a, b in itertools.zip_longest(last.before, step.before, fillvalue={})]
     return out
 
 
@@ -218,8 +249,9 @@ class Plan:
             if step.table is not None:
                 df = step.table(df)
                 continue
-            kept = [F.col(f"`{c}`") for c in df.columns if c not in step.new and c not in step.drop]
-            df = df.select(*kept, *[v.alias(n) for n, v in step.new.items()])
+            kept = [f"`{c}`" for c in df.columns if c not in step.new and c not in step.drop]
+            new = [v.alias(n) for n, v in step.new.items()]
+            df = step.staging().select(df, *kept, *new) if step.before else df.select(*kept, *new)
         return final_columns(df, self.order, self.cut, self.fill, self.fillable)
 
 
@@ -230,8 +262,9 @@ class Model:
         self.fields = [parse_field(n, v) for n, v in fields]
         self.cut, self.fill, self.name, self.keep = cut, fill, name, tuple(keep)
 
-    def compile(self, columns: Sequence[str]) -> Plan:
-        compiler, steps, fillable, missing = _Compiler(columns), [], [], []
+    def compile(self, columns: Sequence[str], arrays: Sequence[str] = ()) -> Plan:
+        """The plan for a schema's column names, of which some hold arrays."""
+        compiler, steps, fillable, missing = _Compiler(columns, arrays), [], [], []
         for item in self.fields:
             step = compiler.step(item)
             if step is not None:
@@ -249,7 +282,7 @@ class Model:
             from .align import align
 
             df = align(df, aliases, overrides, policy)
-        return self.compile(df.columns).apply(df)
+        return self.compile(df.columns, [c for c, kind in df.dtypes if kind.startswith("array<")]).apply(df)
 
 
 def imodel(fields: EnumMeta | type | None = None, *, cut: bool = True, fill: Any = None):
