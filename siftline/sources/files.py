@@ -26,8 +26,10 @@ def null_nan(df: DataFrame, empty_text: bool = False) -> DataFrame:
 def load(spark: SparkSession, source, *, sql: str | None = None, jdbc: Mapping[str, str] | None = None, encoding: str = "UTF-8", sep: str | None = None, **options) -> DataFrame:
     """A table from a DataFrame (Spark's or pandas'), a path by its extension, or a database query.
 
-    csv and txt are read as text columns with a header; json keeps its types; parquet and orc are
-    read as they are; xls and xlsx need pandas with an Excel engine and fit the driver.
+    csv and txt are read as text columns with a header; quoted fields may hold line breaks, so a file
+    is one task unless multiLine=False says that there are none; json keeps its types, and is one
+    task a file unless multiLine=False says that each line is a record; parquet and
+    orc are read as they are; xls and xlsx need pandas with an Excel engine and fit the driver.
     """
     if jdbc is not None:
         return spark.read.format("jdbc").options(**jdbc).option("query", sql or source).load()
@@ -37,10 +39,10 @@ def load(spark: SparkSession, source, *, sql: str | None = None, jdbc: Mapping[s
         return null_nan(spark.createDataFrame(source))
     kind = os.path.splitext(source.rstrip("/"))[1].lower()
     if kind in (".csv", ".txt"):
-        reader = spark.read.options(header=True, inferSchema=False, encoding=encoding, sep=sep or ("\t" if kind == ".txt" else ","), multiLine=False, quote='"', escape='"')
+        reader = spark.read.options(header=True, inferSchema=False, encoding=encoding, sep=sep or ("\t" if kind == ".txt" else ","), multiLine=True, quote='"', escape='"')
         return reader.options(**options).csv(source)
     if kind == ".json":
-        return spark.read.options(multiLine=True, **options).json(source)
+        return spark.read.options(**({"multiLine": True} | options)).json(source)
     if kind in (".parquet", ".orc"):
         return spark.read.format(kind[1:]).options(**options).load(source)
     if kind in (".xls", ".xlsx"):

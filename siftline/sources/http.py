@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.cluster import checkpointed
+
 Fetch = Callable[[str], str]
 
 
@@ -116,13 +118,17 @@ def search_portal(spark: SparkSession, list_url: str, search: Mapping[str, objec
     return found.dropDuplicates(["collectionID"])
 
 
-def ask(queries: DataFrame, url_of: Callable[[Row], str], get: Fetch = fetch, pool: int = 8) -> DataFrame:
-    """queries (raw, simple_name, authors, platform_rank) with answer, the body of each request; failures are null."""
+def ask(queries: DataFrame, url_of: Callable[[Row], str | None], get: Fetch = fetch, pool: int = 8) -> DataFrame:
+    """queries (raw, simple_name, authors, platform_rank) with answer, the body of each request; failures, and what a service is not asked, are null.
+
+    The answers are checkpointed, so that later actions do not ask again.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(row) -> str | None:
             try:
-                return get(url_of(row))
+                url = url_of(row)
+                return get(url) if url else None
             except (OSError, ValueError):
                 return None
 
@@ -131,25 +137,49 @@ def ask(queries: DataFrame, url_of: Callable[[Row], str], get: Fetch = fetch, po
                 yield frame.assign(answer=list(workers.map(one, frame.itertuples(index=False))))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
-    return queries.mapInPandas(run, f"{fields}, answer string")
-
-
-#: How taxonomic services are asked about a rank, by service.
-RANK_FILTERS = {
-    "ipni": {"familial": "f_familial", "generic": "f_generic", "specific": "f_specific", "infraspecific": "f_infraspecific"},
-    "powo": {"familial": "families_f", "generic": "genus_f", "specific": "species_f", "infraspecific": "infraspecific_f"},
+    return checkpointed(queries.mapInPandas(run, f"{fields}, answer string"))
+
+
+#: What services call the ranks and kinds of a search; a service that a kind lacks is not asked for it.
+SEARCHES = {
+    "familial": {"kew": "f_familial", "col": "getFamiliesByFamilyName", "tropicos": "Search"},
+    "infrafamilial": {"kew": "f_infrafamilial", "tropicos": "Search"},
+    "generic": {"kew": "f_generic", "col": "getSpeciesByScientificName", "tropicos": "Search"},
+    "infrageneric": {"kew": "f_infrageneric", "tropicos": "Search"},
+    "specific": {"kew": "f_specific", "col": "getSpeciesByScientificName", "tropicos": "Search"},
+    "infraspecific": {"kew": "f_infraspecific", "col": "getSpeciesByScientificName", "tropicos": "Search"},
+    "commonname": {"col": "getSpeciesByCommonName", "tropicos": "Search"},
+    "acceptedname": {"tropicos": "AcceptedNames"},
+    "synonyms": {"tropicos": "Synonyms"},
+    "distributions": {"tropicos": "Distributions"},
+    "references": {"tropicos": "References"},
+    "images": {"tropicos": "Images"},
+    "highertaxa": {"tropicos": "HigherTaxa"},
+    "specimens": {"tropicos": "Specimens"},
+    "chromosome": {"tropicos": "ChromosomeCounts"},
 }
+#: Fixed value: members of a request by service and kind.
+_COL_KEYS = {"familial": "familyName", "commonname": "commonName"}
 
 
-def name_request(service: str, base: str, simple_name: str, rank: str | None = None, key: str | None = None, per_page: int = 500) -> str:
-    """The address of a search for a name in a service (ipni, powo, tropicos, col)."""
-    if service in RANK_FILTERS:
-        return with_query(base, {"q": simple_name, "f": RANK_FILTERS[service].get(rank or ""), "perPage": per_page})
-    if service == "tropicos":
-        return with_query(base, {"name": simple_name, "type": "exact", "apikey": key, "format": "json"})
-    if service == "col":
-        return with_query(base, {"scientificName" if rank in ("specific", "infraspecific") else "genus" if rank == "generic" else "family": simple_name, "apiKey": key})
-    raise ValueError(f"unknown service {service}")
+def name_request(service: str, base: str, name: str, kind: str = "specific", key: str | None = None, per_page: int = 500) -> str | None:
+    """The address of a search for a name in a service (ipni, powo, tropicos, col); None if the service has no such search.
+
+    For kinds that tell more of a known name, the name is its id.
+    """
+    family = "kew" if service in ("ipni", "powo") else service
+    if family not in ("kew", "tropicos", "col"):
+        raise ValueError(f"unknown service {service}")
+    method = SEARCHES[kind].get(family)
+    if method is None:
+        return None
+    if family == "kew":
+        return with_query(f"{base}/search", {"q": name, "f": method, "perPage": per_page})
+    if family == "col":
+        return with_query(f"{base}/{method}", {"apiKey": key, _COL_KEYS.get(kind, "scientificName"): name, "page": 1})
+    if method == "Search":
+        return with_query(f"{base}/{method}", {"name": name.replace(".", "%2e"), "type": "exact", "apikey": key, "format": "json"})
+    return with_query(f"{base}/{name}/{method}", {"apikey": key, "format": "json"})
 
 
 @dataclass
@@ -173,7 +203,8 @@ def register(records: DataFrame, registry: Registry, key: str, mode: str = "crea
     """Send each row as JSON; key, ok and message of each.
 
     Every request carries a key made from the row's own, so that a task that runs again registers
-    nothing twice.  mode "update" changes the ids of records already there.
+    nothing twice.  The rows are sent when this is called, and the result is checkpointed, so that
+    later actions send nothing.  mode "update" changes the ids of records already there.
     """
     if mode not in ("create", "update"):
         raise ValueError(f"mode is create or update, not {mode}")
@@ -192,4 +223,11 @@ def register(records: DataFrame, registry: Registry, key: str, mode: str = "crea
                 done = list(workers.map(one, frame.itertuples(index=False)))
                 yield pd.DataFrame({"key": frame["key"], "ok": [d[0] for d in done], "message": [d[1] for d in done]})
 
-    return rows.mapInPandas(run, "key string, ok boolean, message string")
+    return checkpointed(rows.mapInPandas(run, "key string, ok boolean, message string"))
+
+
+def write_outcomes(records: DataFrame, outcomes: DataFrame, key: str, path: str) -> None:
+    """The records that were and were not registered, as JSON lines in path/success and path/failed, failures with their message."""
+    told = records.join(outcomes.withColumnRenamed("key", "__key"), F.col(key).cast("string") == F.col("__key"))
+    told.where("ok").drop("__key", "ok", "message").write.mode("overwrite").json(f"{path}/success")
+    told.where("not ok").drop("__key", "ok").write.mode("overwrite").json(f"{path}/failed")
