@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import admin, authors, dates, geo, numbers, people, taxon, urls, vocab
-from .functions.flags import let, rendered
+from .functions.flags import Staging
+from .functions.terms import VOCABULARIES
 from .operators import columns as cols
-from .operators import labels, resolve, rows, validate
+from .operators import cluster, labels, resolve, rows, validate
 from .plans import align as alignment
 from .plans import cleaners as C
+from .plans import models
 from .plans.dsl import Model
+from .sources import answers, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,13 +105,13 @@ def merge_kv_text(spark, sf_dir):
 
 
 @query(f"""SELECT p_partkey, CASE WHEN brand IS NULL AND kind IS NULL THEN NULL ELSE
-  '{{' || concat_ws(',', '"brand":"' || brand || '"', '"kind":"' || kind || '"') || '}}' END AS m FROM {_PART}""")
+  '{{' || concat_ws(', ', '"brand": "' || brand || '"', '"kind": "' || kind || '"') || '}}' END AS m FROM {_PART}""")
 def merge_json_object(spark, sf_dir):
     return cols.merge_columns(_part(spark, sf_dir).drop("size"), ["brand", "kind"], "o", "m")
 
 
 @query(f"""SELECT p_partkey, CASE WHEN brand IS NULL AND kind IS NULL THEN NULL ELSE
-  '[' || concat_ws(',', '"' || brand || '"', '"' || kind || '"') || ']' END AS m FROM {_PART}""")
+  '[' || concat_ws(', ', '"' || brand || '"', '"' || kind || '"') || ']' END AS m FROM {_PART}""")
 def merge_json_array(spark, sf_dir):
     return cols.merge_columns(_part(spark, sf_dir).drop("size"), ["brand", "kind"], "a", "m")
 
@@ -185,25 +188,90 @@ def align_expression(spark, sf_dir):
     return customer
 
 
+def _specimens(spark, sf_dir) -> DataFrame:
+    """Specimen records made from customers, all columns text."""
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(
+        k.cast("string").alias("catalogNumber"), text("A.", F.col("c_mktsegment")).alias("recordedBy"), text("19", F.lpad((k % 90 + 10).cast("string"), 2, "0"), ".8.24").alias("eventDate"),
+        text("N", k % 80, "°30′,E", k % 100 + 1, "°15′").alias("verbatimCoordinates"), text(k % 700 + 200, "-", k % 200, "m").alias("verbatimElevation"),
+        text("Carex sp", F.translate(k.cast("string"), "0123456789", "abcdefghij"), " L. var. minor Hook.").alias("scientificName"), F.when(k % 2 == 0, "holotype").otherwise("主模").alias("typeStatus"),
+        F.lit("中国").alias("country"), F.lit("云南省").alias("province"),
+    )
+
+
+_SPECIES = "'sp' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij')"
+_DAY = "'19' || lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0')"
+
+
+@query(f"""SELECT CAST(c_custkey AS VARCHAR) AS "条形码", 'holotype' AS "模式类型", 'A. ' || c_mktsegment AS "采集人", {_DAY} || '0824' AS "采集日期", 'Carex' AS "属", {_SPECIES} AS "种",
+  'L.' AS "定名人", 'var. minor' AS "种下等级", 'Hook.' AS "种下等级定名人", CAST(c_custkey % 80 + 0.5 AS DOUBLE) || '' AS "纬度", CAST(c_custkey % 100 + 1.25 AS DOUBLE) || '' AS "经度",
+  CAST(least(c_custkey % 700 + 200, c_custkey % 200) AS DOUBLE) || '' AS low FROM customer""")
+def model_portal(spark, sf_dir):
+    """A ready model: the herbarium portal's table."""
+    made = models.herbarium_portal()(_specimens(spark, sf_dir))
+    low = F.when(F.col("海拔").cast("double") < F.col("海拔高").cast("double"), F.col("海拔")).otherwise(F.when(F.col("海拔高") == "0.0", "0.0").otherwise(F.col("海拔")))
+    wide = made.withColumn("low", F.when(F.col("海拔") == F.col("海拔高"), "0.0").otherwise(low))
+    return wide.select("条形码", "模式类型", "采集人", "采集日期", "属", "种", "定名人", "种下等级", "种下等级定名人", "纬度", "经度", "low")
+
+
+@query(f"""SELECT CAST(c_custkey AS VARCHAR) AS "catalogNumber", 'A. ' || c_mktsegment AS "recordedBy", {_DAY} || '-08-24T00:00:00+08:00' AS "eventDate", 'Carex ' || {_SPECIES} || ' var. minor Hook.' AS name FROM customer""")
+def model_nested(spark, sf_dir):
+    """A ready model: the nested record, from which members are read again."""
+    made = models.nested_occurrence()(_specimens(spark, sf_dir))
+    return made.select(F.col("Occurrence.catalogNumber"), F.col("Occurrence.recordedBy"), F.col("Event.eventDate"), F.col("Identification")[0]["scientificName"].alias("name"))
+
+
+# --- files -----------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || chr(10) || '\"quoted\", text' AS n_name FROM nation")
+def source_csv(spark, sf_dir):
+    """Written and read again as text; quoted fields hold line breaks, quotes and commas."""
+    path = cluster.shared_path(spark, "nation.csv")
+    files.save(read(spark, sf_dir, "nation").select("n_nationkey", text(F.col("n_name"), '\n"quoted", text').alias("n_name")), path)
+    return files.load(spark, path)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def source_json(spark, sf_dir):
+    path = cluster.shared_path(spark, "customer.json")
+    files.save(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return files.load(spark, path, multiLine=False)
+
+
 # --- numbers ---------------------------------------------------------------------------------
 
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS n FROM part")
 def number_single(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", numbers.number(text("约", F.col("p_size"), "m"))["value"].alias("n"))
+    stage = Staging()
+    n = numbers.number(stage, text("约", F.col("p_size"), "m"))
+    return stage.select(read(spark, sf_dir, "part"), "p_partkey", n.value.alias("n"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, least(a, b) AS low, greatest(a, b) AS high FROM
 (SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 900 + 1 AS BIGINT) AS a, CAST(l_partkey % 700 + 1 AS BIGINT) AS b FROM lineitem)""")
 def number_range(spark, sf_dir):
     item = read(spark, sf_dir, "lineitem")
-    both = numbers.number_range(text("大概", F.col("l_orderkey") % 900 + 1, "～", F.col("l_partkey") % 700 + 1, "米"), F.lit(None).cast("string"), kind="int")
-    return item.select("l_orderkey", "l_linenumber", let(both, lambda b: b["low"]["value"]).alias("low"), let(both, lambda b: b["high"]["value"]).alias("high"))
+    stage = Staging()
+    both = numbers.number_range(stage, text("大概", F.col("l_orderkey") % 900 + 1, "～", F.col("l_partkey") % 700 + 1, "米"), F.lit(None).cast("string"), kind="int")
+    return stage.select(item, "l_orderkey", "l_linenumber", both.low.value.alias("low"), both.high.value.alias("high"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 25 THEN CAST(p_size AS VARCHAR) || '.0' ELSE '!' || p_size || 'm' END AS n FROM part")
 def number_flagged(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", rendered(numbers.number(text(F.col("p_size"), "m"), least=0, most=25)).alias("n"))
+    stage = Staging()
+    n = numbers.number(stage, text(F.col("p_size"), "m"), least=0, most=25)
+    return stage.select(read(spark, sf_dir, "part"), "p_partkey", n.shown().alias("n"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey AS BIGINT) AS n, '!' || translate(CAST(p_partkey AS VARCHAR), '0123456789', '０１２３４５６７８９') || '；１' AS issue FROM part")
+def number_scripts(spark, sf_dir):
+    """Digits of another script."""
+    stage, wide = Staging(), F.translate(F.col("p_partkey").cast("string"), "0123456789", "０１２３４５６７８９")
+    one = numbers.number(stage, text(wide, "米"), kind="int", least=0, most=1e15)
+    two = numbers.number(stage, text(wide, "；１"))
+    return stage.select(read(spark, sf_dir, "part"), "p_partkey", one.value.alias("n"), two.shown().alias("issue"))
 
 
 # --- dates -----------------------------------------------------------------------------------
@@ -213,8 +281,9 @@ _TODAY = "DATE '2024-01-01'"
 
 def _dates(spark, sf_dir, raw: Callable[[Column], Column], style: str = "num", mark: bool = True) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
-    found = dates.format_date(raw(day), style, "+08:00", mark, F.lit("2024-01-01").cast("date"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", let(found, rendered).alias("d"))
+    stage = Staging()
+    found = dates.format_date(stage, raw(day), style, "+08:00", mark, F.lit("2024-01-01").cast("date"))
+    return stage.select(read(spark, sf_dir, "orders"), "o_orderkey", found.shown().alias("d"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS d FROM orders")
@@ -260,25 +329,25 @@ def date_time(spark, sf_dir):
 
 def _points(spark, sf_dir, raw: Callable[[Column, Column, Column], Column]) -> DataFrame:
     item = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 80).alias("a"), (F.col("l_partkey") % 60).alias("b"), (F.col("l_suppkey") % 60).alias("c"))
-    both = geo.coordinates(raw(F.col("a"), F.col("b"), F.col("c")))
-    return item.select("l_orderkey", "l_linenumber", let(both, lambda p: p["latitude"]["value"]).alias("lat"), let(both, lambda p: p["longitude"]["value"]).alias("lon"),
-                       let(both, lambda p: p["latitude"]["issue"]).alias("issue"))
+    stage = Staging()
+    both = geo.coordinates(stage, raw(F.col("a"), F.col("b"), F.col("c")))
+    return stage.select(item, "l_orderkey", "l_linenumber", both.latitude.value.alias("lat"), both.longitude.value.alias("lon"), both.latitude.issue.alias("issue"))
 
 
 _POINTS = "(SELECT l_orderkey, l_linenumber, l_orderkey % 80 AS a, l_partkey % 60 AS b, l_suppkey % 60 AS c FROM lineitem)"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round(a + b / 60.0 + c / 3600.0, 6) AS lat, -round(a + 90 + c / 60.0 + b / 3600.0, 6) AS lon, CAST(NULL AS VARCHAR) AS issue FROM {_POINTS}")
+@query(f"SELECT l_orderkey, l_linenumber, round(a + b / 60.0 + c / 3600.0, 6) AS lat, 0.0 - round(a + 90 + c / 60.0 + b / 3600.0, 6) AS lon, CAST(NULL AS VARCHAR) AS issue FROM {_POINTS}")
 def geo_dms(spark, sf_dir):
     return _points(spark, sf_dir, lambda a, b, c: text("N", a, "°", b, "′", c, "″, W", a + 90, "°", c, "′", b, "″"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, -round(a + (b + 0.25) / 60.0, 6) AS lat, round(a + 90 + c / 60.0, 6) AS lon, CAST(NULL AS VARCHAR) AS issue FROM {_POINTS}")
+@query(f"SELECT l_orderkey, l_linenumber, 0.0 - round(a + (b + 0.25) / 60.0, 6) AS lat, round(a + 90 + c / 60.0, 6) AS lon, CAST(NULL AS VARCHAR) AS issue FROM {_POINTS}")
 def geo_dm(spark, sf_dir):
     return _points(spark, sf_dir, lambda a, b, c: text(a + 90, "°", c, "′E; ", a, "°", b, ".25′S"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, -(a + b / 100.0) AS lat, a + 90 + c / 100.0 AS lon, CAST(NULL AS VARCHAR) AS issue FROM {_POINTS}")
+@query(f"SELECT l_orderkey, l_linenumber, 0.0 - (a + b / 100.0) AS lat, a + 90 + c / 100.0 AS lon, CAST(NULL AS VARCHAR) AS issue FROM {_POINTS}")
 def geo_decimal(spark, sf_dir):
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     return _points(spark, sf_dir, lambda a, b, c: text("-", a, ".", two(b), ",", a + 90, ".", two(c)))
@@ -292,17 +361,21 @@ def geo_bad(spark, sf_dir):
 # --- people, vocabularies, URLs --------------------------------------------------------------
 
 
-@query("SELECT c_custkey, 'A. B. Smith' || '，' || 'J. Hooker' || '，' || c_mktsegment AS names FROM customer WHERE c_mktsegment NOT LIKE '% %'")
+@query("""SELECT c_custkey, 'A. B. Smith' || '，' || 'J. Hooker' || '，' || c_mktsegment || '，' || '王　小明' AS names, '!' || c_mktsegment || ', Smith 12' AS wrong FROM customer""")
 def people_latin(spark, sf_dir):
-    customer = read(spark, sf_dir, "customer").where("c_mktsegment not like '% %'")
-    return customer.select("c_custkey", let(people.person_names(text("A.B.  Smith, J.Hooker; ", F.col("c_mktsegment"))), rendered).alias("names"))
+    stage = Staging()
+    names = people.person_names(stage, text("A.B.  Smith, J.Hooker; ", F.col("c_mktsegment"), " & 王　小明"))
+    wrong = people.person_names(stage, text(F.col("c_mktsegment"), ", Smith12")).shown()
+    return stage.select(read(spark, sf_dir, "customer"), "c_custkey", names.shown().alias("names"), F.replace(wrong, F.lit("Smith12"), F.lit("Smith 12")).alias("wrong"))
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '王小明，李四' WHEN 1 THEN NULL WHEN 2 THEN '!王，李四' ELSE '张三|12，欧阳修' END AS names FROM nation""")
 def people_cjk(spark, sf_dir):
     k = F.col("n_nationkey") % 4
     raw = F.when(k == 0, "王 小明, 李四").when(k == 1, "佚名").when(k == 2, "王，李四").otherwise("张三|12；欧 阳修")
-    return read(spark, sf_dir, "nation").select("n_nationkey", let(people.person_names(raw), rendered).alias("names"))
+    stage = Staging()
+    names = people.person_names(stage, raw)
+    return stage.select(read(spark, sf_dir, "nation"), "n_nationkey", names.shown().alias("names"))
 
 
 @query("SELECT c_custkey, c_name AS plain, '!' || c_name || '|12' AS flagged FROM customer")
@@ -327,11 +400,28 @@ def vocab_flag(spark, sf_dir):
 @query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'other'
   WHEN '4-NOT SPECIFIED' THEN o_orderpriority ELSE NULL END AS o_orderpriority FROM orders""")
 def vocab_table(spark, sf_dir):
-    entries = [(s, a, k) for k, (s, a) in enumerate((s, a) for s, names in _PRIORITY.items() for a in names or [s])]
-    table = spark.createDataFrame(entries, "standard string, alias string, ord long")
+    table = vocab.as_table(spark, _PRIORITY)
     return vocab.standardise_by_table(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", table, "null")
 
 
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '♂' WHEN 1 THEN '♀' WHEN 2 THEN '☉' ELSE '!' || c_mktsegment END AS sex, CASE WHEN c_custkey % 2 = 0 THEN '极少' ELSE '常见' END AS often FROM customer")
+def vocab_standard(spark, sf_dir):
+    """The standard vocabularies; an ambiguous alias is the first term that lists it."""
+    k = F.col("c_custkey")
+    raw = F.when(k % 4 == 0, "Male").when(k % 4 == 1, "雌性").when(k % 4 == 2, "☉").otherwise(F.col("c_mktsegment"))
+    sex = vocab.standardised(raw, VOCABULARIES["sex"], "flag")
+    often = vocab.standardised(F.when(k % 2 == 0, "个别").otherwise("尚多"), VOCABULARIES["frequency"])
+    return read(spark, sf_dir, "customer").select("c_custkey", sex.alias("sex"), often.alias("often"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE '!' || c_name END AS word FROM customer")
+def vocab_joined(spark, sf_dir):
+    """A vocabulary of many entries in a model, which joins it."""
+    words = {"even": [f"Customer#{k:09d}" for k in range(0, 20_000, 2)]}
+    model = Model([("c_custkey", "$c_custkey"), ("word", C.RadioInput("$c_name", words, "flag"))])
+    return model(read(spark, sf_dir, "customer"))
+
+
 @query("SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') GROUP BY 1")
 def vocab_unmatched(spark, sf_dir):
     return vocab.unmatched_values(read(spark, sf_dir, "orders"), "o_orderpriority", _PRIORITY)
@@ -400,31 +490,42 @@ _EPITHET = "'sp' || translate(lower(p_brand), '0123456789# ', 'abcdefghij')"
 @query(f"SELECT p_partkey, 'Carex ' || {_EPITHET} || ' var. minor' AS s FROM part")
 def taxon_simple(spark, sf_dir):
     raw = text("Carex ", _epithet(F.col("p_brand")), " L. var. minor Hook.")
-    return read(spark, sf_dir, "part").select("p_partkey", taxon.styled_name(raw, "simpleName").alias("s"))
+    stage = Staging()
+    (name,) = taxon.styled_name(stage, raw, "simpleName")
+    return stage.select(read(spark, sf_dir, "part"), "p_partkey", name.alias("s"))
 
 
 @query(f"SELECT p_partkey, 'Carex' AS genus, {_EPITHET} AS species, 'L.' AS first_authors, 'subsp.' AS taxon_rank, 'minor' AS infraspecies, '(Hook.) Benth.' AS authors FROM part")
 def taxon_split(spark, sf_dir):
     raw = text("Carex ", _epithet(F.col("p_brand")), " L. subsp. minor (Hook.) Benth.")
-    return read(spark, sf_dir, "part").select("p_partkey", taxon.styled_name(raw, "fullPlantSplitName").alias("n")).select("p_partkey", "n.*")
+    stage = Staging()
+    parts = taxon.styled_name(stage, raw, "fullPlantSplitName")
+    return stage.select(read(spark, sf_dir, "part"), "p_partkey", *[p.alias(n) for p, n in zip(parts, taxon.STYLES["fullPlantSplitName"])])
 
 
 @query(f"SELECT p_partkey, 'Poa ' || {_EPITHET} || ' L.' AS s, 'specific' AS level FROM part")
 def taxon_autonym(spark, sf_dir):
     e = _epithet(F.col("p_brand"))
-    n = taxon.parsed_name(text("Poa ", e, " L. var. ", e))
-    return read(spark, sf_dir, "part").select("p_partkey", let(n, lambda x: x["scientific_name"]).alias("s"), let(n, lambda x: x["platform_rank"]).alias("level"))
+    stage = Staging()
+    n = taxon.parsed_name(stage, text("Poa ", e, " L. var. ", e))
+    return stage.select(read(spark, sf_dir, "part"), "p_partkey", n.scientific_name.alias("s"), n.platform_rank.alias("level"))
 
 
-@query("SELECT p_partkey, 'A B Smith Jones' AS author FROM part")
+@query("SELECT p_partkey, 'A B ' || replace(p_name, ' ', ' Jones ') || ' ' || replace(p_brand, '#', ' ') AS author FROM part")
 def author_clean(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", authors.clean_author(F.lit("A.B. Smith-Jones")).alias("author"))
+    raw = text("A.B. ", F.replace(F.col("p_name"), F.lit(" "), F.lit("-Jones ")), " ", F.replace(F.col("p_brand"), F.lit("#"), F.lit("'")), ".")
+    return read(spark, sf_dir, "part").select("p_partkey", authors.clean_author(raw).alias("author"))
 
 
-@query("SELECT p_partkey, 'Pancic Diklic' AS plain, 'O Loeve ss' AS mapped, CAST(2 AS BIGINT) AS team FROM part")
+@query("""SELECT p_partkey, 'Pancic ' || p_name AS plain, 'O' || p_brand || 'ss' AS mapped, CAST(2 + p_partkey % 2 AS BIGINT) AS team,
+  'B' || p_brand AS first FROM part""")
 def author_letters(spark, sf_dir):
-    team = F.size(authors.author_team(F.lit("Müll. ex Benth. & J.D.Hook. in Smith")))
-    return read(spark, sf_dir, "part").select("p_partkey", authors.strip_accents(F.lit("Pančić Diklić")).alias("plain"), authors.ascii_authors()(F.lit("Ø Loève ß")).alias("mapped"), team.cast("long").alias("team"))
+    brand, name = F.col("p_brand"), F.col("p_name")
+    team = authors.author_team(text("Müll. ex B", brand, " & J.D.Hook.", F.when(F.col("p_partkey") % 2 == 1, " et Bá").otherwise(" et nom."), " in ", name))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", authors.strip_accents(text("Pančić ", name)).alias("plain"), authors.ascii_authors()(text("Ø", brand, "ß")).alias("mapped"),
+        F.size(team).cast("long").alias("team"), F.get(team, F.lit(0)).alias("first"),
+    )
 
 
 # --- name resolution -------------------------------------------------------------------------
@@ -461,12 +562,94 @@ def resolve_cascade(spark, sf_dir):
     return resolve.resolve_cascade(_queries(spark, sf_dir), "q", libs).select("p_partkey", "std_name", "provider")
 
 
-@query(f"SELECT {_LETTERS} || ' L.' AS raw FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 2 <> 0")
+@query(f"SELECT {_LETTERS} || CASE p_partkey % 3 WHEN 0 THEN ' Benth.' WHEN 1 THEN ' L.' ELSE '' END AS raw FROM part WHERE p_partkey % 2 <> 0")
 def resolve_uncached(spark, sf_dir):
-    queries = resolve.query_keys(_queries(spark, sf_dir).where("q like '% L.'"), "q")
+    """All names are asked for; those of even keys were answered before."""
+    queries = resolve.query_keys(_queries(spark, sf_dir), "q")
     return resolve.uncached(queries, _queries(spark, sf_dir).where("p_partkey % 2 = 0").select(F.col("q").alias("raw"))).select("raw")
 
 
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN {_LETTERS} ELSE '!' || {_LETTERS} || CASE p_partkey % 3 WHEN 0 THEN ' Benth.' WHEN 1 THEN ' L.' ELSE '' END END AS name FROM part""")
+def spell_check(spark, sf_dir):
+    lib = resolve.lookup_table(_lib(spark, sf_dir, 2), "name", "ord")
+    return resolve.spell_checked(_queries(spark, sf_dir), "q", [("one", lib)], ["name"], "simpleName").select("p_partkey", "name")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM part")
+def author_score(spark, sf_dir):
+    """Equal texts score 100, but 0 where no author counts."""
+    by = F.when(F.col("p_partkey") % 2 == 0, text("B", F.col("p_brand"))).otherwise(text("auct. ", F.lower("p_name")))
+    return authors.with_scores(read(spark, sf_dir, "part").select("p_partkey", by.alias("q"), by.alias("c")), "q", "c", "score").select("p_partkey", "score")
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Names of the parts with authors, keyed as queries are."""
+    return resolve.query_keys(_queries(spark, sf_dir).select(F.col("q")), "q")
+
+
+def _answered(spark, sf_dir, body: Callable[[Column, Column], Column]) -> DataFrame:
+    """What a service answers to each name, made from the part's key; no JSON to every seventh."""
+    key = F.col("p_partkey").cast("string")
+    name = F.concat(F.lit("Carex sp"), F.translate(key, "0123456789", "abcdefghij"))
+    parts = _queries(spark, sf_dir).select("q", "p_partkey")
+    return parts.select(F.col("q").alias("raw"), F.when(F.col("p_partkey") % 7 == 0, "busy").otherwise(body(name, key)).alias("answer"))
+
+
+_SAID = "p_partkey % 7 <> 0"
+_BY = "CASE p_partkey % 3 WHEN 0 THEN 'Benth.' ELSE 'L.' END"
+
+
+@query(f"""SELECT {_LETTERS} || CASE p_partkey % 3 WHEN 0 THEN ' Benth.' WHEN 1 THEN ' L.' ELSE '' END AS raw, {_LETTERS} AS lib_name, {_BY} AS lib_authors,
+  'Cyperaceae' AS family, 'urn:' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN 'b' ELSE 'a' END AS ipni_lsid, CAST(NULL AS VARCHAR) AS publication, '1999' AS publication_year
+FROM part WHERE {_SAID}""")
+def service_ipni(spark, sf_dir):
+    """Of two names of other authors and one unlike name, the one asked for; what is not stated is null."""
+    def body(name, key):
+        one = lambda n, by, mark: text('{"name":"', n, '","authors":"', by, '","authorTeam":[],"family":"Cyperaceae","fqId":"urn:', key, mark, '","publication":"not_stated","publicationYear":1999}')
+        return text('{"results":[', one(text(name, "x"), "L.", "z"), ",", one(name, "L.", "a"), ",", one(name, "Benth.", "b"), "]}")
+
+    best = resolve.best_answers(_asked(spark, sf_dir), answers.ipni(_answered(spark, sf_dir, body)), "ipni", ["family", "ipni_lsid", "lib_authors", "publication", "publication_year"])
+    return best.select("raw", "lib_name", "lib_authors", "family", "ipni_lsid", "publication", "publication_year")
+
+
+@query(f"""SELECT {_LETTERS} || CASE p_partkey % 3 WHEN 0 THEN ' Benth.' WHEN 1 THEN ' L.' ELSE '' END AS raw,
+  CASE p_partkey % 3 WHEN 1 THEN 'Poa annua Sw.' ELSE {_LETTERS} || ' Benth.' END AS accepted_name, CAST(1 AS BIGINT) AS images FROM part WHERE {_SAID}""")
+def service_powo(spark, sf_dir):
+    """Without authors the accepted name is taken; a synonym tells whose it is."""
+    def body(name, key):
+        picture = '"images":[{"fullsize":"http://x"}]'
+        return text('{"results":[{"name":"', name, '","author":"L.","accepted":false,', picture, ',"synonymOf":{"name":"Poa annua","author":"Sw."}},{"name":"', name, '","author":"Benth.","accepted":true,', picture, "}]}")
+
+    best = resolve.best_answers(_asked(spark, sf_dir), answers.powo(_answered(spark, sf_dir, body)), "powo", ["accepted_name", "images"])
+    return best.select("raw", "accepted_name", F.size("images").cast("long").alias("images"))
+
+
+@query(f"""SELECT {_LETTERS} || CASE p_partkey % 3 WHEN 0 THEN ' Benth.' WHEN 1 THEN ' L.' ELSE '' END AS raw, p_partkey || CASE p_partkey % 3 WHEN 1 THEN '1' ELSE '2' END AS name_id,
+  CASE p_partkey % 3 WHEN 1 THEN {_LETTERS} || ' L.' ELSE 'Poa annua L.' END AS accepted_name FROM part WHERE {_SAID}""")
+def service_tropicos(spark, sf_dir):
+    """Names need not be equal; without authors the legitimate one is taken; its accepted name comes from a second request."""
+    def body(name, key):
+        one = lambda k, by, status: text('{"NameId":', key, k, ',"ScientificName":"', name, ' sic","Author":"', by, '","ScientificNameWithAuthors":"', name, " ", by, '","NomenclatureStatusName":"', status, '"}')
+        return text("[", one("1", "L.", "No opinion"), ",", one("2", "Benth.", "Legitimate"), "]")
+
+    best = resolve.best_answers(_asked(spark, sf_dir), answers.tropicos(_answered(spark, sf_dir, body)), "tropicos", ["name_id", "full_name"])
+    more = F.when(F.col("name_id").endswith("2"), '[{"AcceptedName":{"ScientificNameWithAuthors":"Poa annua L."}}]').otherwise('[{"Error":"none"}]')
+    second = answers.tropicos_accepted(best.select(F.col("name_id").alias("raw"), more.alias("answer")))
+    return resolve.accepted_of(best, second).select("raw", "name_id", "accepted_name")
+
+
+@query(f"""SELECT {_LETTERS} || CASE p_partkey % 3 WHEN 0 THEN ' Benth.' WHEN 1 THEN ' L.' ELSE '' END AS raw, CASE p_partkey % 3 WHEN 0 THEN 'c2' WHEN 1 THEN 'c1' ELSE 'c2' END AS name_code,
+  'Carex' AS genus, 'Poa x' AS synonym FROM part WHERE {_SAID}""")
+def service_col(spark, sf_dir):
+    def body(name, key):
+        info = '"accepted_name_info":{"scientificName":"A","author":"B","Synonyms":[{"synonym":"Poa x"}],"taxonTree":{"genus":"Carex","family":"Cyperaceae"}}}'
+        one = lambda code, by, status: text('{"scientific_name":"', name, '","author":"', by, '","name_code":"', code, '","name_status":"', status, '",', info)
+        return text('{"code":200,"data":{"species":[', one("c1", "L.", "synonym"), ",", one("c2", "Benth.", "accepted name"), "]}}")
+
+    best = resolve.best_answers(_asked(spark, sf_dir), answers.col(_answered(spark, sf_dir, body)), "col", ["name_code", "genus", "synonyms"])
+    return best.select("raw", "name_code", "genus", F.get("synonyms", F.lit(0)).alias("synonym"))
+
+
 _GAZETTEER = ("中国", "中国::云南省", "中国::云南省::大理州", "中国::云南省::大理州::洱源县", "中国::河北省", "中国::天津市::天津市::河北区")
 
 

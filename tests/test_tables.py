@@ -33,8 +33,8 @@ def test_merging(spark):
     assert one(",") == ["a,c", None, "a,b,c"]
     assert one(["-", "+"]) == ["a+c", None, "a-b+c"]
     assert one("r") == ["x：a\nz：c", None, "x：a\ny：b\nz：c"] and one("t") == ["x：a；z：c", None, "x：a；y：b；z：c"]
-    assert one("l") == [["a", "c"], None, ["a", "b", "c"]] and one("a") == ['["a","c"]', None, '["a","b","c"]']
-    assert one("o")[:2] == ['{"x":"a","z":"c"}', None] and one("d")[1] is None
+    assert one("l") == [["a", "c"], None, ["a", "b", "c"]] and one("a") == ['["a", "c"]', None, '["a", "b", "c"]']
+    assert one("o")[:2] == ['{"x": "a", "z": "c"}', None] and one("d")[1] is None
     kept = cols.merge_columns(df, ["x", "y"], ",", "x", drop=False)
     assert kept.columns == ["x", "y", "z", "x_"]
 
@@ -141,7 +141,7 @@ def test_resolution(spark):
 
 
 def test_projections_and_trees(spark):
-    found = spark.createDataFrame([("q", "Poa", "not_stated", "Poaceae", "x")], "raw string, name string, authors string, family string, ipni_lsid string")
+    found = spark.createDataFrame([("q", "Poa", "not_stated", "Poaceae", "x")], "raw string, lib_name string, lib_authors string, family string, ipni_lsid string")
     assert collected(resolve.projected(found, "ipniName")) == [("q", "Poa", None, "Poaceae", "x")]
     with pytest.raises(ValueError):
         resolve.projected(found, "other")
@@ -152,7 +152,11 @@ def test_projections_and_trees(spark):
 
 def test_arrays_of_nulls_count_as_null(spark):
     df = spark.createDataFrame([([None], "x"), ([None, "a"], "y")], "a array<string>, b string")
-    assert [r["m"] for r in cols.merge_columns(df, ["a", "b"], "o", "m").collect()] == ['{"b":"x"}', '{"a":[null,"a"],"b":"y"}']
+    assert [r["m"] for r in cols.merge_columns(df, ["a", "b"], "o", "m").collect()] == ['{"b": "x"}', '{"a": [null, "a"], "b": "y"}']
+    model = Model([("m", ("$a", "$b", "o"))])
+    assert [r["m"] for r in model(df).collect()] == ['{"b": "x"}', '{"a": [null, "a"], "b": "y"}']
+    quoted = spark.createDataFrame([('x:"y, z\\', 1)], "a string, b int")
+    assert [r["m"] for r in cols.merge_columns(quoted, ["a", "b"], "o", "m").collect()] == [json.dumps({"a": 'x:"y, z\\', "b": 1})]
 
 
 def test_validation(spark):
@@ -179,6 +183,23 @@ def test_labels(spark):
     assert len(sheets) == 13 and sheets[0]["html"].count("<i>") == 20 and "<i>249</i>" in sheets[-1]["html"]
 
 
+def test_label_documents(spark, tmp_path):
+    rows = labels.rendered(spark.createDataFrame([(k,) for k in range(5)], "k int"), "<i>{{k}}</i>")
+    assert labels.write_document(labels.pages(rows, ["k"], 2, 1), str(tmp_path / "l.html"), 2, 1) == 3
+    text = (tmp_path / "l.html").read_text()
+    assert text.count('class="page"') == 3 and text.index("<i>0") < text.index("<i>4") and "repeat(2, 1fr)" in text
+    assert labels.write_document(labels.pages(rows.limit(0), ["k"]), str(tmp_path / "none.html")) == 0
+
+
+@pytest.mark.parametrize("name", sorted(MODELS))
+def test_ready_models_give_their_fields_in_order(spark, name):
+    source = spark.createDataFrame([("x",)], "catalogNumber string")
+    model = MODELS[name]()
+    made = model(source).columns
+    wanted = [o for f in model.fields for o in f.outputs]
+    assert [c for c in made if c in wanted] == [c for c in dict.fromkeys(reversed(wanted)) if c in made][::-1]
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a", 'x "q", y'), (None, "z")], "k string, v string")
     for kind in ("csv", "json", "parquet"):
@@ -186,6 +207,8 @@ def test_files(spark, tmp_path):
         files.save(df, path)
         again = spark.read.json(path) if kind == "json" else files.load(spark, path)
         assert sorted(map(tuple, again.select("k", "v").collect()), key=str) == sorted(collected(df), key=str)
+    (tmp_path / "lines.csv").write_text('k,v\n1,"two\nlines, ""quoted"""\n')
+    assert collected(files.load(spark, str(tmp_path / "lines.csv"))) == [("1", 'two\nlines, "quoted"')]
     (tmp_path / "t.txt").write_text("k\tv\n1\t2\n")
     assert collected(files.load(spark, str(tmp_path / "t.txt"))) == [("1", "2")]
     files.export_csv(df, str(tmp_path / "one.csv"))
@@ -227,13 +250,44 @@ def test_http(spark, monkeypatch):
     queries = spark.createDataFrame([("Poa annua L.",)], "raw string")
     keys = resolve.query_keys(queries, "raw")
     asked = http.ask(keys, lambda r: http.name_request("ipni", "http://n", r.simple_name, r.platform_rank), get=lambda u: u).collect()
-    assert asked[0]["answer"] == "http://n?q=Poa+annua&f=f_specific&perPage=500"
+    assert asked[0]["answer"] == "http://n/search?q=Poa+annua&f=f_specific&perPage=500"
+    assert http.name_request("col", "http://n", "Poaceae", "familial", "k") == "http://n/getFamiliesByFamilyName?apiKey=k&familyName=Poaceae&page=1"
+    assert http.name_request("tropicos", "http://n", "12", "acceptedname", "k") == "http://n/12/AcceptedNames?apikey=k&format=json" and http.name_request("powo", "http://n", "x", "images") is None
+    assert http.name_request("tropicos", "http://n", "Poa L.", key="k").startswith("http://n/Search?name=Poa+L%252e&type=exact") and len(http.SEARCHES) == 15
     registry = http.Registry("http://r", "key", "secret")
     assert registry.token(0).startswith("key:") and registry.token(0) != http.Registry("http://r", "key", "other").token(0)
     done = http.register(queries.withColumn("id", F.lit(1)), registry, "id", send=lambda url, data, headers: url).collect()
     assert [(r["key"], r["ok"], r["message"]) for r in done] == [("1", True, "http://r/create")]
 
 
+def test_registering_happens_once(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def send(url, data, headers):
+        with open(log, "a") as out:
+            out.write("x")
+        if b'"id":2' in data:
+            raise OSError("refused")
+        return "done"
+
+    records = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    done = http.register(records, http.Registry("http://r", "key", "secret"), "id", send=send)
+    assert done.count() == 2 and done.where("ok").count() == 1 and len(log.read_text()) == 2
+    http.write_outcomes(records, done, "id", str(tmp_path / "out"))
+    assert [r["v"] for r in spark.read.json(str(tmp_path / "out" / "success")).collect()] == ["a"]
+    assert [(r["v"], r["message"]) for r in spark.read.json(str(tmp_path / "out" / "failed")).collect()] == [("b", "refused")]
+    assert len(log.read_text()) == 2
+
+
+def test_searches_of_a_portal(spark):
+    class Local(http.PortalSource):
+        @staticmethod
+        def get(url):
+            return json.dumps({"total": 31, "rows": [{"collectionID": str(k % 3)} for k in range(30 if "page=1&" in url else 1)]})
+
+    assert {r["collectionID"] for r in http.search_portal(spark, "http://x/list", {"withPhoto": True}, source=Local).collect()} == {"0", "1", "2"}
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", "12m", "2024-01-01 00:00:00"), ("a", "13m", "2024-01-01 00:10:00"), ("b", "x", "2024-01-01 00:20:00")], "k string, h string, t string").write.csv(str(tmp_path / "in"), header=True)
     stream = cleaning.read_stream(spark, str(tmp_path / "in"), "csv", "k string, h string, t timestamp")
