@@ -21,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where spark.checkpoint.dir is unset (tests on one machine) is a temporary folder set.
+    Where spark.checkpoint.dir is unset, a temporary folder is set on one machine (tests); a cluster
+    has to name one.
     """
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-")
-        context.setCheckpointDir(base)
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftline-"))
+    return named or context.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -57,9 +60,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample_place(doc_id: Column) -> Column:
-    """A place from 0 to 2**63 - 1 by a hash of the id."""
-    return F.xxhash64(doc_id).bitwiseAND(F.lit((1 << 63) - 1))
+def sample_place(*key: Column) -> Column:
+    """A place from 0 to 2**63 - 1 by a hash of a row's key."""
+    return F.xxhash64(*key).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 def last_place(most: float, n: int) -> int:
@@ -67,6 +70,21 @@ def last_place(most: float, n: int) -> int:
     return max(1, min(1 << 63, (int(most) << 63) // max(1, n))) - 1
 
 
+def hashed_sample(rows: DataFrame, group: str, key: list[str], most: int, sizes: dict) -> DataFrame:
+    """At most ``most`` rows of each group, those of the least hashes of their key; rows of one key count once.
+
+    sizes are the groups' numbers of rows.  A threshold by the size leaves about ``most`` rows of a
+    group, and a ranking of these is the hard bound; few rows are shuffled.
+    """
+    places = [(g, last_place(most, n)) for g, n in sizes.items()]
+    kinds = f"{OWN}g {rows.schema[group].dataType.simpleString()}, {OWN}last long"
+    limits = rows.sparkSession.createDataFrame(places, kinds)
+    near = rows.join(F.broadcast(limits), F.col(group) == F.col(f"{OWN}g")).withColumn(f"{OWN}place", sample_place(*[F.col(k) for k in key]))
+    near = near.where(F.col(f"{OWN}place") <= F.col(f"{OWN}last")).dropDuplicates([group, f"{OWN}place"])
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(f"{OWN}place"))
+    return near.withColumn(f"{OWN}rank", rank).where(F.col(f"{OWN}rank") <= most).select(*rows.columns)
+
+
 def running_offsets(counts: DataFrame, key: str, n: str, out: str, width: int = 4096) -> DataFrame:
     """For each key (a long from 0), the sum of n over all smaller keys.
 

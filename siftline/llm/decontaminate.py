@@ -5,9 +5,10 @@ one pattern.  Texts are mapped to ids of benchmark words (others: 0).  For each
 by length, a shift table over blocks of two words tells how far the search may jump; at shift 0 the
 suffix's bucket gives the few patterns that a direct comparison then confirms.
 
-The benchmark is held in blocks of at most ``block_words`` pattern words, read one after another
-from the driver; with several blocks the documents pass through one search a block, in one
-pipelined stage, and carry their hits along.
+The benchmark is written in blocks of at most ``block_words`` pattern words to the shared folder.  A
+worker process reads a block and builds its tables once, whatever the number of tasks, and holds one
+block at a time: with several blocks the documents pass through one search a block, each of whose
+results but the last is written, and carry their hits along.
 
 Results in odd cases: a null or wordless text has no words, no hits and is clean; a null or
 wordless item is no pattern; rows of one item id count as one item; a null item id is written as an
@@ -17,6 +18,8 @@ but for those that the new columns replace.
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import filesystem, id_and_text, scratch
 
 #: Bytes of words: digits, lower-case letters and all of non-ASCII; A-Z become a-z, the rest spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -116,34 +119,51 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pattern_blocks(benchmark: DataFrame, window: int, block_words: int, item_col: str, text_col: str) -> Iterator[list]:
-    held, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator()
-    for row in rows:
+def _written_blocks(benchmark: DataFrame, window: int, block_words: int, item_col: str, text_col: str) -> list[str]:
+    """Files of items and their words; the driver holds one block at a time."""
+    root, paths, held, size = scratch(benchmark.sparkSession, "patterns"), [], [], 0
+
+    def write() -> None:
+        store, folder = filesystem(root)
+        store.create_dir(folder, recursive=True)
+        paths.append(f"{root}/{len(paths)}.pickle")
+        with store.open_output_stream(filesystem(paths[-1])[1]) as out:
+            out.write(pickle.dumps((held, window)))
+
+    for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         found = words(row["t"])
         if found:
-            if held and size + len(found) * window > block_words:
-                yield held
+            weight = (len(found) - min(window, len(found)) + 1) * min(window, len(found))
+            if held and size + weight > block_words:
+                write()
                 held, size = [], 0
             held.append((row["i"] or "", found))
-            size += len(found) * window
-    if held:
-        yield held
+            size += weight
+    if held or not paths:
+        write()
+    return paths
+
+
+@functools.lru_cache(maxsize=1)
+def patterns_at(path: str) -> Patterns:
+    """The search tables of a block, built once a worker process; the next block replaces them."""
+    store, file = filesystem(path)
+    with store.open_input_file(file) as source:
+        return Patterns(*pickle.loads(source.readall()))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 20_000_000, id_col: str = "doc_id",
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 4_000_000, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
     """A row for each document: doc_id (with carry: all columns), n_words, spans (array of first word and end), items (array of item ids, sorted)."""
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast((held, window)) for held in _pattern_blocks(benchmark, window, block_words, item_col, item_text_col)] or [None]
+    blocks = _written_blocks(benchmark, window, block_words, item_col, item_text_col)
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
     added = "n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>"
 
-    def search(block, text_at: int, keep: int, found_at: int | None):
+    def search(block: str, text_at: int, keep: int, found_at: int | None):
         """Search one block; found_at: where an earlier block's spans are, if there was one."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(*block.value) if block is not None else Patterns([], window)
+            patterns = patterns_at(block)
             for batch in batches:
                 counts, spans, items = [], [], []
                 was = batch.column(found_at).to_pylist() if found_at else [[]] * batch.num_rows
@@ -159,7 +179,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
         return run
 
-    out, schema, _, text_at = id_and_text(docs, id_col, text_col, added, carry)
+    out, _, _, text_at = id_and_text(docs, id_col, text_col, added, carry)
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
         keep = len(out.columns) - 3 * (k > 0)
@@ -168,6 +188,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
             keep = 1
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:keep])
         out = out.mapInArrow(search(block, text_at, keep, found_at), f"{fields}, {added}")
+        if not last:
+            path = scratch(docs.sparkSession, "searched")
+            out.write.parquet(path)
+            out = docs.sparkSession.read.schema(out.schema).parquet(path)
     return out
 
 

@@ -5,8 +5,9 @@ of the lower-cased text, square roots of their shares) predicts each bit.  Decod
 each language, the logistic loss of its bits weighted by how well each classifier did in fitting,
 and takes the least; a small lead over the second marks the answer as ambiguous.
 
-Fitting reads at most about ``per_language`` rows of each language, chosen by a hash of the id, and
-their features are made on the executors.  Prediction reads whole texts, in slices.
+Fitting reads at most ``per_language`` rows of each language, and at most ``fit_rows`` in all (but one
+of each language), those of the least hashes of id and text; rows that repeat both count once.  Their
+features are made on the executors, from the first ``fit_chars`` characters of each.  Prediction reads whole texts, in slices.
 
 Results in odd cases: a text that is null or has no letter is "und" with score 0; without any row
 to learn from every text is "und"; repeated rows each get a row; extra columns are not read, or
@@ -23,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text, last_place, sample_place, widened
+from .common import hashed_sample, held_out, id_and_text, widened
 
 BINS_BITS = 12
 BINS = 1 << BINS_BITS
 SLICE = 1 << 20
-MOST_LANGUAGES = 300
 _SPACES = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -110,17 +110,13 @@ def train(profiles: np.ndarray, languages: list[str], steps: int = 120, rate: fl
     return LanguageModel(names, codes, weights, trust.astype(np.float32))
 
 
-def fit(docs: DataFrame, per_language: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 800, fit_rows: int = 24_000, fit_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from rows that are not held out."""
     known = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = known.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
-    sizes = known.groupBy("g").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
-    part = F.lit(-1).cast("long")
-    for g, n in sizes:
-        part = F.when(F.col("g") == g, F.lit(last_place(per_language, n))).otherwise(part)
-    some = known.where(sample_place(F.col("i")) <= part).select("i", "g", "t")
+    known = known.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("g"), F.col(text_col).alias("t"))
+    sizes = {r["g"]: r["count"] for r in known.groupBy("g").count().collect()}  # a row for each language
+    most = max(1, min(per_language, fit_rows // max(1, len(sizes))))
+    some = hashed_sample(known, "g", ["i", "t"], most, sizes).select("i", "g", F.substring("t", 1, fit_chars).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

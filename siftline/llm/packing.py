@@ -1,15 +1,16 @@
 """Best-fit packing by exact-complement hashing.
 
 Only lengths matter to a packing, and a piece has at most ``capacity`` tokens, so the plan is made
-on the histogram of lengths: at most ``capacity`` numbers, however large the corpus.  Single, pair
-and triple sums of the lengths still available are indexed; for each length, longest first, a
+on the histogram of lengths: at most ``capacity`` numbers, however large the corpus.  An index lists,
+for each sum, the single lengths, pairs and triples that make it; for each length, longest first, a
 combination that exactly fills the gap is consumed as often as the counts allow; what is left goes
 best-fit, longest first.  The plan lists patterns with multiplicities.  Pieces are then dealt to the
 pattern slots by their rank within their length; ranks come from salted counts, so that one length
 with most of the rows is still spread over many tasks.
 
 Results in odd cases: a null or empty text is a piece of the end id alone; repeated rows are packed
-each; an empty table gives no rows; extra columns are not read.
+each; an empty table gives no rows; extra columns are not read; ids have to be whole numbers (text that
+is none is an error).
 """
 
 from __future__ import annotations
@@ -31,46 +32,57 @@ SALT, RANK, BEFORE = f"{OWN}salt", f"{OWN}rank", f"{OWN}before"
 RANK_BITS = 50
 
 
-class _Complements:
-    """Which gaps the available lengths can exactly fill."""
+class SumIndex:
+    """For each sum up to the capacity, the combinations of one, two or three lengths that make it, that of the largest length first.
+
+    Pairs are listed by their sum; triples as their largest length with a sum that pairs make.
+    Lengths only run out, so the start of a list whose lengths are gone is passed for good.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.left = counts
-        self.capacity = len(counts) - 1
-        self._pairs: np.ndarray | None = None
-
-    def spent(self) -> None:
-        """A length has run out, so the index of sums is stale."""
-        self._pairs = None
-
-    def pair_sums(self) -> np.ndarray:
-        if self._pairs is None:
-            have = (self.left > 0).astype(np.float64)
-            wide = 1 << (2 * self.capacity + 2).bit_length()
-            self._pairs = np.fft.irfft(np.fft.rfft(have, wide) ** 2, wide)[: self.capacity + 1] > 0.5
-        return self._pairs
-
-    def pair(self, gap: int) -> tuple[int, int] | None:
-        big = np.arange((gap + 1) // 2, gap)
-        fits = (self.left[big] > 0) & (self.left[gap - big] > 0)
-        if gap % 2 == 0 and len(big):
-            fits[0] &= self.left[gap // 2] > 1
-        at = np.flatnonzero(fits)
-        return (int(big[at[-1]]), gap - int(big[at[-1]])) if len(at) else None
-
-    def fill(self, gap: int) -> tuple[int, ...] | None:
-        if self.left[gap] > 0:
+        self.left, self.capacity = counts, len(counts) - 1
+        lengths = np.flatnonzero(counts)
+        self.pairs, self.pair_at = self._listed(lengths, lengths)
+        self.triples, self.triple_at = self._listed(lengths, np.flatnonzero(np.diff(self.pair_at) > 0))
+        self.pair_from, self.triple_from = self.pair_at[:-1].copy(), self.triple_at[:-1].copy()
+
+    def _listed(self, lengths: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each length with each rest, by their sum and then by length downward; and where each sum's list begins."""
+        rows = [np.stack([np.full(len(fits), a, dtype=np.int32), fits]) for a in lengths.tolist() if len(fits := rests[rests <= self.capacity - a].astype(np.int32))]
+        listed = np.concatenate(rows, axis=1) if rows else np.zeros((2, 0), dtype=np.int32)
+        if rests is lengths:
+            listed = listed[:, listed[0] >= listed[1]]
+        sums = listed.sum(axis=0)
+        order = np.lexsort((-listed[0], sums))
+        return listed[:, order], np.searchsorted(sums[order], np.arange(self.capacity + 2))
+
+    def pair(self, total: int, held: tuple[int, ...]) -> tuple[int, int] | None:
+        """Two lengths of a sum that are still there besides those held."""
+        lo, hi = int(self.pair_from[total]), int(self.pair_at[total + 1])
+        a, b = self.pairs[:, lo:hi]
+        there = (self.left[a] > 0) & (self.left[b] > (a == b))
+        first = int(there.argmax()) if there.any() else hi - lo
+        self.pair_from[total] = lo + first
+        for k in (first + np.flatnonzero(there[first:])).tolist():
+            found = int(a[k]), int(b[k])
+            if all(self.left[x] >= found.count(x) + held.count(x) for x in set(found)):
+                return found
+        return None
+
+    def fill(self, gap: int, held: int) -> tuple[int, ...] | None:
+        """The lengths that exactly fill a gap: one, else two, else three; one piece of a length is held already."""
+        if self.left[gap] > (gap == held):
             return (gap,)
-        if found := self.pair(gap):
+        if found := self.pair(gap, (held,)):
             return found
-        sums = self.pair_sums()
-        big = np.arange(1, gap - 1)
-        for a in big[(self.left[big] > 0) & sums[gap - big]][::-1].tolist():
-            self.left[a] -= 1
-            found = self.pair(gap - a)
-            self.left[a] += 1
-            if found:
-                return (a, *found)
+        lo, hi = int(self.triple_from[gap]), int(self.triple_at[gap + 1])
+        a, rest = self.triples[:, lo:hi]
+        there = np.flatnonzero((self.left[a] > 0) & (self.pair_from[rest] < self.pair_at[rest + 1]))
+        self.triple_from[gap] = lo + int(there[0]) if len(there) else hi
+        for k in there.tolist():
+            x = int(a[k])
+            if self.left[x] > (x == held) and (found := self.pair(int(rest[k]), (held, x))):
+                return (x, *found)
         return None
 
 
@@ -81,20 +93,13 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
         left[length] = n
     plan = [((capacity,), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    index = _Complements(left)
+    index = SumIndex(left)
     for length in range(capacity - 1, 0, -1):
-        while left[length]:
-            left[length] -= 1
-            found = index.fill(capacity - length)
-            left[length] += 1
-            if not found:
-                break
+        while left[length] and (found := index.fill(capacity - length, length)):
             pattern = (length, *found)
             times = min(int(left[x]) // pattern.count(x) for x in set(pattern))
             for x in pattern:
                 left[x] -= times
-            if any(left[x] == 0 for x in pattern):
-                index.spent()
             plan.append((pattern, times))
     open_bins: dict[int, list[list]] = {}
     room = np.zeros(capacity + 1, dtype=bool)

@@ -187,15 +187,17 @@ def learn_rules(rows: list[tuple[dict[str, float], bool]], precision: float = 0.
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[Rule]:
-    """Rules from the labelled rows that are not held out, of which about fit_rows are read."""
+    """Rules from the labelled rows that are not held out, of which at most fit_rows are read: of ids chosen by a hash, rows with the same figures once."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     marked = marked.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("y"))
     marked = marked.where(sample_place(F.col("doc_id")) <= last_place(fit_rows, marked.count()))
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id")
     found = text_statistics(chosen.select("doc_id", "text")).join(F.broadcast(marked), "doc_id")
     # filtered after collect(): a filter on statistics would be pushed below the join and computed for every document
-    rows = found.select("doc_id", "y", base_failed().alias("failed"), *[feature(n).alias(f"f_{n}") for n in FEATURES]).collect()
-    rows = sorted((r for r in rows if not r["failed"]), key=lambda r: r["doc_id"])
+    figures = found.select("doc_id", "y", base_failed().alias("failed"), *[feature(n).alias(f"f_{n}") for n in FEATURES]).distinct()
+    places = [F.col(f"f_{n}") for n in FEATURES]
+    rows = figures.orderBy(sample_place(F.col("doc_id")), "doc_id", *places).limit(fit_rows).collect()
+    rows = sorted((r for r in rows if not r["failed"]), key=lambda r: (r["doc_id"], *[r[f"f_{n}"] for n in FEATURES]))
     return learn_rules([({n: r[f"f_{n}"] for n in FEATURES}, r["y"] == 0) for r in rows])
 
 

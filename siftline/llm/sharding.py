@@ -6,6 +6,10 @@ row of its own, so the records are shuffled once and joined with nothing.  Bucke
 [offset(b), offset(b) + size(b)) of one global permutation, and shard i the places from
 floor(i * n / shards), so that the shards' row counts differ by one at most (law "rows").
 
+Rows equal in id and text have one hash.  Where more than ``hot_rows`` share it, their hashes are
+salted by the row's number in the input, so that no bucket grows with them; the salted table is
+written first, so that both passes see the same salts.
+
 Results in odd cases: a null text or id is a record like any other; equal rows are all kept (their
 order among themselves cannot be told apart); an empty table gives no rows; with fewer rows than
 shards, some shards are empty; input columns called shard, slot or position are replaced.
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OWN, checkpointed, running_offsets, without
+from .common import OWN, checkpointed, running_offsets, scratch, without
 
 BUCKET, TIE, OFFSET, PART = f"{OWN}bucket", f"{OWN}tie", f"{OWN}offset", f"{OWN}part"
 
@@ -64,8 +68,23 @@ def _permute_buckets(seed: int, bucket_at: int, offset_at: int, keep: list[int])
     return run
 
 
+def _salted(keyed: DataFrame, seed: int, hot_rows: int) -> DataFrame:
+    """keyed, where hashes that more than hot_rows rows share are replaced by hashes of the rows' numbers too."""
+    spark, tie, number = keyed.sparkSession, f"{OWN}hot", f"{OWN}number"
+    hot = checkpointed(keyed.groupBy(F.col(TIE).alias(tie)).agg(F.count(F.lit(1)).alias(f"{OWN}n")).where(F.col(f"{OWN}n") > hot_rows).select(tie))
+    n = hot.count()
+    if not n:
+        return keyed
+    numbered = keyed.withColumn(number, F.monotonically_increasing_id())
+    joined = numbered.join(F.broadcast(hot) if n < 1_000_000 else hot, F.col(TIE) == F.col(tie), "left")
+    salted = F.when(F.col(tie).isNotNull(), F.xxhash64(F.lit(seed), F.col(TIE), F.col(number))).otherwise(F.col(TIE))
+    path, columns = scratch(spark, "salted"), [*[F.col(f"`{c}`") for c in keyed.columns if c != TIE], salted.alias(TIE)]
+    joined.select(*columns).write.parquet(path)
+    return spark.read.schema(joined.select(*columns).schema).parquet(path).select(*keyed.columns)
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20261, id_col: str = "doc_id", text_col: str = "text",
-                    bucket_bytes: int = 16 << 20, least_buckets: int = 1024, task_bytes: int = 128 << 20) -> DataFrame:
+                    bucket_bytes: int = 16 << 20, least_buckets: int = 1024, task_bytes: int = 128 << 20, hot_rows: int = 2000) -> DataFrame:
     """All rows and columns of docs, with position (long, in the global shuffle), shard and slot."""
     docs = without(docs, ("position", "shard", "slot"))
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 16
@@ -73,6 +92,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20261, id_col
     n, all_bytes = total["n"], total["bytes"] or 0
     buckets = max(least_buckets, -(-all_bytes // bucket_bytes))
     keyed = docs.withColumn(TIE, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    keyed = _salted(keyed, seed, hot_rows)
     keyed = keyed.withColumn(BUCKET, F.pmod(F.col(TIE), F.lit(buckets)).cast("long"))
     counts = checkpointed(keyed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias(f"{OWN}n")))
     heads = running_offsets(counts, BUCKET, f"{OWN}n", OFFSET)

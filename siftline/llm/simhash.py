@@ -12,7 +12,8 @@ are skipped.  A task gives a forest, so at most one link for each member, never
 
 Results in odd cases: null and wordless texts have fingerprint zero and are linked like any other; a
 null id can be a member, and is a component's id only if it has no other; repeated rows each get a
-row; an empty table gives no rows; extra columns are not read.
+row; an empty table gives no rows; extra columns are not read; ids have to be whole numbers (text that
+is none is an error).
 """
 
 from __future__ import annotations
@@ -75,6 +76,7 @@ class GrayIndex:
     def __init__(self, buckets: np.ndarray, codes: np.ndarray, distance: int):
         """Rows are sorted by bucket and then by Gray rank; buckets are numbered."""
         self.codes, self.distance = codes, distance
+        self.compared = 0  # pairs of nodes
         self.labels = np.arange(len(codes))
         every = np.uint64(0xFFFFFFFFFFFFFFFF)
         self.levels = [(codes, codes, np.append(np.arange(len(codes)), len(codes)))]  # and, or, first leaf
@@ -127,6 +129,7 @@ class GrayIndex:
             level, i, j = stack.pop()
             new = ~self._known(level, i, j) if level < top else np.ones(len(i), dtype=bool)
             i, j = i[new], j[new]
+            self.compared += len(i)
             least, most = self._spread(level, i, j)
             first = self.levels[level][2]
             whole = most <= self.distance
@@ -157,20 +160,24 @@ class GrayIndex:
         return self.labels
 
 
-def bucket_links(choice: np.ndarray, codes: np.ndarray, masks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a forest within each bucket: rows are (which choice of kept blocks, fingerprint)."""
+def bucket_links(choice: np.ndarray, codes: np.ndarray, masks: np.ndarray, distance: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a forest within each bucket: rows are (which choice of kept blocks, fingerprint, group of the bucket)."""
+    index, codes = bucket_index(choice, codes, masks, distance, group)
+    labels = index.search()
+    linked = labels != np.arange(len(codes))
+    return codes[linked], codes[labels[linked]]
+
+
+def bucket_index(choice: np.ndarray, codes: np.ndarray, masks: np.ndarray, distance: int, group: np.ndarray | None = None) -> tuple[GrayIndex, np.ndarray]:
+    """The index of all buckets with several fingerprints, and these."""
+    group = np.zeros(len(codes), dtype=np.int32) if group is None else group
     key = codes & masks[choice]
-    order = np.lexsort((gray_rank(codes), key, choice))
-    choice, key, codes = choice[order], key[order], codes[order]
-    new = np.append(True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]))
+    order = np.lexsort((gray_rank(codes), group, key, choice))
+    choice, key, codes, group = choice[order], key[order], codes[order], group[order]
+    new = np.append(True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
     bucket = np.cumsum(new) - 1
     several = np.bincount(bucket)[bucket] > 1
-    bucket, codes = bucket[several], codes[several]
-    if not len(codes):
-        return codes, codes
-    labels = GrayIndex(bucket, codes, distance).search()
-    linked = labels != np.arange(len(codes))
-    return codes[linked], codes[labels[linked]]
+    return GrayIndex(bucket[several], codes[several], distance), codes[several]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,39 +191,70 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, code long")
 
 
-def near_links(codes: DataFrame, distance: int = 4, kept: int = 2) -> DataFrame:
-    """Links (u, v) that connect all distinct codes within the distance, directly or through others."""
+def kept_blocks(codes: int, distance: int = 4, fill: int = 64) -> int:
+    """How many blocks to keep, so that a bucket of unlike fingerprints has about ``fill`` of them at most."""
+    kept = 2
+    while kept < 8 and codes > fill << 64 * kept // (distance + kept):
+        kept += 1
+    return kept
+
+
+def _dealt(placed: DataFrame, sampled: int, group_size: int) -> DataFrame:
+    """placed (choice, key, code) with pair: 0, or for large buckets the number of the pair of groups whose task gets the row.
+
+    A bucket is large if more than group_size / sampled of the fingerprints whose hash is divisible
+    by ``sampled`` are in it; then it is cut into groups of about group_size, and each group goes to the
+    tasks of all pairs with it.  What the sample says bears on the dealing alone: any is exact.
+    """
+    some = placed.where(F.pmod(F.xxhash64("code"), F.lit(sampled)) == 0)
+    large = some.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {group_size // sampled}")
+    large = checkpointed(large.select("choice", "key", F.expr(f"cast(n * {sampled} div {group_size} + 1 as int)").alias("g")))
+    n = large.count()
+    if not n:
+        return placed.select("choice", "key", "code", F.lit(0).alias("pair"))
+    joined = placed.join(F.broadcast(large) if n < 1_000_000 else large, ["choice", "key"], "left")
+    own = F.pmod(F.xxhash64(F.lit(1), "code"), F.col("g")).cast("int")
+    other = F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1))
+    each = joined.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(other))
+    return each.select("choice", "key", "code", F.coalesce(F.least("own", "other") * F.col("g") + F.greatest("own", "other"), F.lit(0)).alias("pair"))
+
+
+def near_links(codes: DataFrame, distance: int = 4, kept: int | None = None, sampled: int = 64, group_size: int = 8192) -> DataFrame:
+    """Links (u, v) that connect all distinct codes within the distance, directly or through others.  codes should be materialised."""
+    kept = kept or kept_blocks(codes.count(), distance)
     masks = np.array(block_masks(distance, kept), dtype=np.uint64)
     signed = masks.view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if held:
-            choice, code = (np.concatenate(x) for x in zip(*held))
-            u, v = bucket_links(choice, code.view(np.uint64), masks, distance)
+            choice, code, pair = (np.concatenate(x) for x in zip(*held))
+            u, v = bucket_links(choice, code.view(np.uint64), masks, distance, pair)
             for at in range(0, len(u), 100_000):
                 some = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(u[some].view(np.int64)), pa.array(v[some].view(np.int64))], names=["u", "v"])
 
     placed = codes.select(F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("choice", "mask"), "code")
-    placed = placed.repartition("choice", F.col("code").bitwiseAND(F.col("mask"))).select("choice", "code")
-    return placed.mapInArrow(run, "u long, v long")
+    placed = placed.select("choice", F.col("code").bitwiseAND(F.col("mask")).alias("key"), "code")
+    dealt = _dealt(placed, sampled, group_size).repartition("choice", "key", "pair").select("choice", "code", "pair")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def _rooted(prints: DataFrame, distance: int) -> DataFrame:
-    """For each distinct code: code, root (the code that names its component) and least_id."""
+    """For each distinct code: code, root (the code that names its component), least_id, and the component's least id."""
     distinct = checkpointed(prints.groupBy("code").agg(F.min("doc_id").alias("least_id")))
     found = components(near_links(distinct.select("code"), distance))
     rooted = distinct.join(found.select(F.col("u").alias("code"), F.col("v").alias("root")), "code", "left")
-    return rooted.withColumn("root", F.coalesce("root", "code"))
+    rooted = checkpointed(rooted.withColumn("root", F.coalesce("root", "code")))
+    # checkpointed, so that the join reads both sides from a shuffle and can split a component with many codes
+    ids = checkpointed(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    return rooted.join(ids, "root")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
     prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    rooted = _rooted(prints, distance)
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("code", "component_id")
+    named = _rooted(prints, distance).select("code", "component_id")
     return prints.join(named, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -225,9 +263,10 @@ def representatives(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
 
     An id may repeat with other texts: rows are told apart by their fingerprints, and components by
     their roots, since two components can have the same smallest id.  The rows are written with
-    their fingerprints, so that these are made once.
+    their fingerprints, so that these are made once; rows alike in id and fingerprint are reduced to
+    one before the shuffle of the texts, of which there is one alone.
     """
-    code, least, root = f"{OWN}code", f"{OWN}least", f"{OWN}root"
+    code, number, missing, root, only, row = (f"{OWN}{x}" for x in ("code", "number", "missing", "root", "only", "row"))
     slim, schema, _, text_at = id_and_text(docs, id_col, text_col, f"{code} long", True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +277,13 @@ def representatives(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
     path = scratch(docs.sparkSession, "coded")
     slim.mapInArrow(run, schema).write.parquet(path)
     coded = docs.sparkSession.read.schema(schema).parquet(path)
-    rooted = checkpointed(_rooted(coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(code).alias("code")), distance))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias(least))
-    first = rooted.join(ids, "root").where(F.col("least_id").eqNullSafe(F.col(least))).select(F.col("code").alias(f"{code}2"), least, F.col("root").alias(root))
-    rows = coded.join(first, (F.col(code) == F.col(f"{code}2")) & F.col(id_col).cast("long").eqNullSafe(F.col(least)))
+    rooted = _rooted(coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(code).alias("code")), distance)
+    first = rooted.where(F.col("least_id").eqNullSafe(F.col("component_id"))).select("code", "root", "least_id")
+    alone = first.groupBy("root").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    keyed = lambda df, c, i: df.select(F.col(c).alias(code), F.coalesce(i, F.lit(0)).alias(number), i.isNull().alias(missing), *[x for x in df.columns if x != c])
+    first = keyed(checkpointed(first.join(alone, "root")), "code", F.col("least_id")).select(code, number, missing, F.col("root").alias(root), F.col("alone").alias(only))
     order = [text_col, *[c for c in docs.columns if c != text_col]]
-    best = rows.groupBy(root).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in order])).alias("row"))
-    return best.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    rows = keyed(coded, code, F.col(id_col).cast("long")).groupBy(code, number, missing).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in order])).alias(row))
+    chosen = rows.join(first, [code, number, missing])  # dealt as the rows are: texts are shuffled once
+    tied = chosen.where(~F.col(only)).groupBy(root).agg(F.min(row).alias(row))
+    return chosen.where(only).select(row).unionByName(tied.select(row)).select(*[F.col(f"{row}.`{c}`") for c in docs.columns])

@@ -5,8 +5,9 @@ unsigned 32-bit), then a skippable frame with the document index, then the seek
 zstandard seekable format, with a checksum for each frame.  A reader loads the last bytes, the seek
 table and the index, and decompresses only the frames that hold the documents asked for.
 
-Results in odd cases: a null text counts as empty and has the end id alone; equal ids stay in the
-order of their texts; a null id sorts first and is kept; an empty table writes a manifest without
+Results in odd cases: a null text counts as empty and has the end id alone; documents of one id go
+by a hash of their texts, and may lie in several files; a null id sorts first and is kept; ids have to
+be whole numbers (text that is none is an error); an empty table writes a manifest without
 files; extra columns are not read.  A document may span frames, so its length has no bound.
 """
 
@@ -269,34 +270,39 @@ class FrameReader:
             yield d, iter(chunks)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Write the ids of docs in ascending id order below path; gives (and writes) the manifest.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 128 << 20) -> dict:
+    """Write the ids of docs in ascending id order below path, about task_bytes of text a file; gives (and writes) the manifest.
 
-    Every file is written under a name of its own attempt and then moved to its final name, and its
-    bytes depend on the rows alone: a lost executor's file is written again without trace.
-    The manifest has a line for each file, the only thing that the driver collects.
+    Every attempt of a task writes a file under a name of its own, and the manifest lists those of the
+    attempts that succeeded; the others are deleted in the end, and no reader ever looks at them.  So
+    a lost executor's file is written again without trace, on any file system.  The manifest has a
+    line for each file, the only thing that the driver collects.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        name, writer, sink = f"part-{task.partitionId():06d}.zids", None, None
+        name, writer, sink = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.zids", None, None
         store, root = filesystem(path)
-        trial = f"{root}/_{name}-{task.taskAttemptId()}"
         for ids, data in encoded(batches, tokenizer, end_id):
             if writer is None:
                 store.create_dir(root, recursive=True)
-                sink = store.open_output_stream(trial)
+                sink = store.open_output_stream(f"{root}/{name}")
                 writer = FrameWriter(sink)
             for i, x in zip(ids, data):
                 writer.add(i, x)
         if writer is not None:
             writer.close()
             sink.close()
-            store.move(trial, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "name": [name], "docs": [len(writer.ids)], "ids": [sum(writer.lengths)]})
 
+    from pyarrow import fs
+
     slim = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    ordered = slim.repartitionByRange("i").sortWithinPartitions("i", "t")
+    size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
+    # rows equal in id and text are dealt by where they come from, so that any number of them is split
+    placed = slim.select("i", "t", F.xxhash64("t").alias("h"), F.spark_partition_id().alias("p"))
+    ordered = placed.repartitionByRange(parts, "i", "h", "p").sortWithinPartitions("i", "h").select("i", "t")
     files = ordered.mapInArrow(run, "part int, name string, docs long, ids long").collect()
     manifest, start = [], 0
     for f in sorted(files):
@@ -304,6 +310,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         start += f["ids"]
     store, root = filesystem(path)
     store.create_dir(root, recursive=True)
+    listed = {f["name"] for f in manifest}
+    for found in store.get_file_info(fs.FileSelector(root)):
+        if found.base_name.endswith(".zids") and found.base_name not in listed:
+            store.delete_file(found.path)
     with store.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
     return {"files": manifest, "ids": start}

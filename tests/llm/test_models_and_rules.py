@@ -31,17 +31,18 @@ def test_chats_keep_maximal_conversations(spark):
             for _ in range(rng.randint(1, 3)):
                 rows += [(conv, k, r, t) for k, (r, t) in enumerate(turns[:n])]
                 conv += 1
-    rows += [(conv, 0, None, None), (conv + 1, 0, "", ""), (conv + 2, None, "user", "x"), (conv + 2, 5, None, "y"), (None, 0, "user", "nobody"), (None, 1, "user", "asks")]
+    rows += [(conv, 0, None, None), (conv + 1, 0, "", ""), (conv + 2, None, "user", "x"), (conv + 2, 5, None, "y"), (conv + 3, 0, "user", "very long " * 50_000)]
+    rows += [(None, 0, "user", "nobody"), (None, 1, "user", "asks"), (None, 7, "user", "nobody"), (None, 0, *base[0][0]), (None, None, "user", "same first")] + [(None, 0, None, "")] * 300
     table = spark.createDataFrame(rows, TURNS).repartition(3)
     by_conv = collections.defaultdict(list)
-    for r in rows:
-        by_conv[r[0]].append(r)
+    for n, r in enumerate(rows):
+        by_conv[r[0] if r[0] is not None else ("alone", n)].append(r)
     texts = {c: shown(t) for c, t in by_conv.items()}
     proper = {tuple(t[:k]) for t in texts.values() for k in range(1, len(t))}
     kept = collections.defaultdict(list)
     for c, t in texts.items():
         if tuple(t) not in proper:
-            kept[tuple(t)].append(c)
+            kept[tuple(t)].append(c if isinstance(c, int) else None)
     expected = {(min((c for c in cs if c is not None), default=None), len(t), len(cs), len("".join(t)), "".join(t)) for t, cs in kept.items()}
     got = chat.format_chats(table.withColumn("copies", F.lit(1))).collect()
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
