@@ -6,7 +6,9 @@ parent and child.  Sum-product messages, first upward and then downward, give ev
 marginal; text blocks whose marginal is at least one half are the main text.  Weights are fitted by
 gradient ascent on the likelihood of labelled pages, whose gradient needs the same messages.
 
-The labelled pages are made from a seed (``pagegen``), ``fit_pages`` of them.
+The labelled pages are made from a seed (``pagegen``), ``fit_pages`` of them; the tables hold no labels
+for pages.  The fitted weights are written once to the shared folder, under a name that the code of
+the generator and of the fitting decides, and read from there by later sessions.
 
 Results in odd cases: a null or empty page has empty text; unclosed, stray and cut-off tags are
 handled as browsers do, roughly; a line break counts as white space; repeated rows each get a row;
@@ -15,17 +17,23 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import hashlib
+import inspect
+import pickle
 import re
+import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from .common import filesystem, shared_dir
 from .pagegen import PageMaker
 
 _TOKEN = re.compile(
@@ -250,6 +258,27 @@ def fitted(fit_pages: int = 1000, seed: int = 11) -> TreeModel:
     return train([labelled_page(seed * 1_000_000 + k)[:2] for k in range(fit_pages)])
 
 
+def stored_model(spark: SparkSession, fit_pages: int = 1000, seed: int = 11) -> TreeModel:
+    """fitted(), from the shared folder where an earlier session wrote it."""
+    from . import pagegen
+
+    code = "".join(inspect.getsource(m) for m in (pagegen, sys.modules[__name__]))
+    mark = hashlib.sha256(f"{code}{fit_pages},{seed}".encode()).hexdigest()[:16]
+    root = f"{shared_dir(spark).rstrip('/')}/siftline-models"
+    store, path = filesystem(f"{root}/html-{mark}.pickle")
+    if store.get_file_info(path).is_file:
+        with store.open_input_file(path) as source:
+            return TreeModel(*pickle.loads(source.readall()))
+    model = fitted(fit_pages, seed)
+    store.create_dir(filesystem(root)[1], recursive=True)
+    trial = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(trial) as out:
+        out.write(pickle.dumps((model.vocabulary, model.weights, model.edges)))
+    with contextlib.suppress(OSError):  # another session was quicker, where moves do not replace
+        store.move(trial, path)
+    return model
+
+
 def main_texts(model: TreeModel, pages: list[str | None]) -> list[str]:
     parsed = [Page(p) for p in pages]
     content, _ = model.infer(Forest(parsed, model.vocabulary))

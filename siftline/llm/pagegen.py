@@ -62,7 +62,7 @@ class PageMaker:
 
     def block(self) -> list[Run]:
         r = self.rng
-        kind = r.choice(("p",) * 12 + ("h2", "h3", "ul", "ol", "blockquote", "pre", "table", "div", "section", "bare", "broken", "broken", "figure", "dl"))
+        kind = r.choice(("p",) * 12 + ("h2", "h3", "ul", "ol", "blockquote", "pre", "table", "div", "section", "bare", "loose", "loose", "figure", "dl"))
         text = lambda a=1, b=60: (self.inline(self.sentence(min(a, self.longest), min(b, self.longest))), True)
         if kind in ("p", "div", "blockquote", "pre"):
             return [(f"<{kind}>", True), text(), (f"</{kind}>", True)]
@@ -78,10 +78,38 @@ class PageMaker:
             return [('<figure><img src="x.png"><figcaption>', True), text(1, 15), ("</figcaption></figure>", True)]
         if kind == "dl":
             return [("<dl><dt>", True), text(1, 4), ("</dt><dd>", True), text(1, 20), ("</dd></dl>", True)]
-        if kind == "broken":
-            return [("<p><b>", True), text(), ("<br><p>", True), text(), ("</p>", True)]
+        if kind == "loose":
+            return [x for _ in range(r.randint(1, 4)) for x in self.loose(text())]
         return [text(2, 40), ("<p>", True), text(), ("</p>", True)]
 
+    def loose(self, text: Run) -> list[Run]:
+        """A block by an author who closes tags at whim: inline ones left open, line breaks anywhere."""
+        r = self.rng
+        tag, inner = r.choice(("p", "p", "p", "div", "li", "blockquote", "h3")), r.choice(("", "", "b", "i", "em", "strong", "span", "u", "font"))
+        head = f"<{tag}>" + (f"<{inner}>" if inner else "")
+        tail = r.choice(("", f"</{inner}>")) if inner else ""
+        tail += "<br>" * r.choice((0, 0, 1, 2)) + (f"</{tag}>" if r.random() < 0.5 else "")
+        return [(head, True), text, (tail, True)]
+
+    def markup(self) -> str:
+        """Tags around words, as they stand in scripts, comments and templates, whole or cut off."""
+        r = self.rng
+        tag = r.choice(("p", "div", "li", "a", "span", "h2", "article", "td", "b"))
+        return r.choice((f"<{tag}>{self.words(0, 4)}</{tag}>", f"</{tag}>", f"<{tag}>", f"<{tag} class='x'>{self.words(1, 3)}"))
+
+    def script(self) -> str:
+        """A script of a few statements: calls, assignments, comparisons, and markup in quotes."""
+        r = self.rng
+        name = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(1, 6)))
+        quoted = lambda: r.choice(('"{}"', "'{}'", "`{}`")).format(self.markup().replace("'", "") if r.random() < 0.5 else self.words(1, 3))
+        lines = [r.choice((f"{name()}({quoted()})", f"var {name()}={quoted()}", f"if({name()}<{r.randint(0, 9)}){{{name()}()}}", f"{name()}.{name()}=[{r.randint(0, 99)},{quoted()}]")) for _ in range(r.randint(1, 5))]
+        return ";".join(lines)
+
+    def styles(self) -> str:
+        r = self.rng
+        rule = lambda: f"{r.choice(('p', 'div', '.box', '#top', 'a:hover', 'ul>li', 'body'))}{{{r.choice(('color', 'width', 'display', 'padding'))}:{r.choice(('red', '1px', 'none', 'auto'))}}}"
+        return "".join(rule() for _ in range(r.randint(1, 4)))
+
     def junk(self, kind: str) -> list[Run]:
         r = self.rng
         off = lambda s: (s, False)
@@ -93,17 +121,25 @@ class PageMaker:
             return [off(f"<{tag}{'' if plain else self.attributes(names)}>"), *inner, off(f"</{tag}>")]
 
         paragraphs = lambda a, b: [x for _ in range(r.randint(a, b)) for x in ((off("<p>"), line(), off("</p>")) if r.random() < 0.7 else (off("<div>"), line(), off("</div>")))]
+        def title(most: int) -> list[Run]:
+            tag = r.choice(("h2", "h3", "h3", "h4", "p", "div", "span"))
+            return [off(f"<{tag}>"), line(1, most), off(f"</{tag}>")]
+
         if kind == "nav":
+            if r.random() < 0.2:  # links without a list
+                inner = [x for _ in range(r.randint(2, 8)) for x in (off('<a href="/y">'), off(entities.escape(self.words(1, 3))), off(r.choice(("</a> ", "</a><br>", "</a> | "))))]
+                return boxed(r.choice(("nav", "div", "p")), NAV_NAMES, inner)
             tag = r.choice(("nav", "nav", "div", "ul"))
             inner = links(r.randint(2, 10))
             return boxed(tag, NAV_NAMES, inner if tag == "ul" else [off("<ul>"), *inner, off("</ul>")])
         if kind == "header":
-            return boxed(r.choice(("header", "header", "div")), HEADER_NAMES, [off(r.choice(("<h1>", "<p>", "<div>"))), line(1, 8), *(paragraphs(0, 1) if r.random() < 0.5 else [])])
+            tag = r.choice(("h1", "h2", "p", "div", "span", "a href='/'"))
+            return boxed(r.choice(("header", "header", "div")), HEADER_NAMES, [off(f"<{tag}>"), line(1, 8), off(f"</{tag.split()[0]}>"), *(paragraphs(0, 1) if r.random() < 0.5 else [])])
         if kind == "footer":
             inner = [off("&copy; "), line(1, 20)] if r.random() < 0.6 else paragraphs(1, 3)
             return boxed(r.choice(("footer", "footer", "div")), FOOTER_NAMES, inner + (links(r.randint(1, 4)) if r.random() < 0.3 else []))
         if kind == "side":
-            inner = [off("<h3>"), line(1, 4), off("</h3><ul>"), *links(r.randint(1, 6)), off("</ul>")] if r.random() < 0.5 else paragraphs(1, 3)
+            inner = [*title(4), off("<ul>"), *links(r.randint(1, 6)), off("</ul>")] if r.random() < 0.5 else paragraphs(1, 3)
             return boxed(r.choice(("aside", "aside", "div", "section")), SIDE_NAMES, inner)
         if kind == "notice":
             return boxed(r.choice(("div", "div", "section", "aside")), NOTICE_NAMES, [line()] if r.random() < 0.5 else paragraphs(1, 2) + [off("<button>"), line(1, 2), off("</button>")])
@@ -111,13 +147,18 @@ class PageMaker:
             return boxed(r.choice(("div", "div", "div", "section", "aside")), AD_NAMES, [line()] if r.random() < 0.6 else paragraphs(1, 2))
         if kind == "comments":
             inner = [x for _ in range(r.randint(1, 4)) for x in (off(f'<{r.choice(("li", "li", "div", "div", "article"))} class="{r.choice(COMMENT_NAMES)}">'), line(), off("<p>"), line(), off("</p></div></article>"))]
-            return boxed(r.choice(("section", "div", "div", "ol")), COMMENT_NAMES, [off("<h3>"), line(1, 3), off("</h3>"), *inner])
+            return boxed(r.choice(("section", "div", "div", "ol")), COMMENT_NAMES, [*title(3), *inner])
         if kind == "hidden":
             return [off(r.choice(("<p hidden>", '<p style="display:none">', '<div aria-hidden="true">', '<div class="hidden">'))), line(), off("</p></div>")]
         if kind == "form":
             inner = [off("<label>"), line(1, 3), off('</label><input name="q"><select><option>'), line(1, 2), off("</option></select><button>"), line(1, 2), off("</button>")]
             return boxed("form", FORM_NAMES, ([off("<p>"), line(1, 12), off("</p>")] if r.random() < 0.5 else []) + inner)
-        return [off(r.choice(('<script>var t="</p>";track(1);</script>', "<style>p{margin:0}</style>", "<noscript><p>Turn it on</p></noscript>", "<!-- <p>gone</p> -->", '<iframe src="x"></iframe>')))]
+        kinds = {
+            "script": lambda: f"<script{r.choice(('', ' async', ' type=module'))}>{self.script()}</script>", "style": lambda: f"<style>{self.styles()}</style>",
+            "noscript": lambda: f"<noscript>{self.markup()}</noscript>", "comment": lambda: f"<!--{self.markup()} {self.words(0, 5)}-->",
+            "iframe": lambda: f'<iframe src="{self.words(1, 1)}"></iframe>', "template": lambda: f"<template>{self.markup()}</template>",
+        }
+        return [off(kinds[r.choice(("script", "script", "style", "noscript", "comment", "comment", "iframe", "template"))]())]
 
     def _inside(self) -> list[Run]:
         """The article: a heading, blocks, and junk among them."""
@@ -146,7 +187,8 @@ class PageMaker:
         named = tag in ("div", "section", "td") or (tag in ("article", "main") and r.random() < 0.3)
         opened, closed = f"<{tag}{self.attributes(CONTENT_NAMES) if named else ''}>", f"</{tag}>"
         if tag == "td":
-            opened, closed = f"<table><tr>{opened}", "</td></tr></table>"
+            beside = [(f"<td{self.attributes(r.choice((NAV_NAMES, SIDE_NAMES)))}>", False), *self.junk(r.choice(("nav", "nav", "side"))), ("</td>", False)] if r.random() < 0.6 else []
+            table, closed = [("<table><tr>", True), *beside, (opened, True)], "</td></tr></table>"
         if tag == "article" and r.random() < 0.3:
             opened, closed = f"<main>{opened}", f"{closed}</main>"
         if tag == "bare":
@@ -154,12 +196,14 @@ class PageMaker:
         before = self._some({"header": 0.35, "nav": 0.7, "code": 0.3, "notice": 0.25, "ad": 0.5, "side": 0.15, "form": 0.15})
         after = self._some({"side": 0.3, "ad": 0.2, "comments": 0.3, "form": 0.15, "nav": 0.1, "notice": 0.15, "code": 0.2, "footer": 0.8})
         r.shuffle(before)
-        out: list[Run] = [("<!DOCTYPE html><html><head><title>x</title><style>p{margin:0}</style></head>", False), ("<body>", tag == "body")]
+        head = "".join(x for x in (f"<title>{self.words(1, 6)}</title>", f"<style>{self.styles()}</style>", f"<script>{self.script()}</script>", '<meta charset="utf-8">') if r.random() < 0.6)
+        out: list[Run] = [(f"{r.choice(('<!DOCTYPE html>', '<!doctype html>', ''))}<html><head>{head}</head>", False), ("<body>", tag == "body")]
         wrapped = tag != "body" and r.random() < 0.3
         out += [(r.choice(('<div id="wrapper" class="page container">', '<div class="container"><div class="row">', '<div id="page">')), False)] if wrapped else []
         for k in before:
             out += self.junk(k)
-        out += self._inside() if tag == "body" else [(opened, True), *self._inside(), (closed, True)]
+        inside = self._inside()
+        out += inside if tag == "body" else [*(table if tag == "td" else [(opened, True)]), *inside, (closed, True)]
         for k in after:
             out += self.junk(k)
         out += [("</div>", False)] if wrapped else []

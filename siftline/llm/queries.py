@@ -65,7 +65,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_extract.extract(table(spark, sf_dir, "pages"), html_extract.fitted())
+    found = html_extract.extract(table(spark, sf_dir, "pages"), html_extract.stored_model(spark))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
