@@ -2,13 +2,22 @@
 
 Language ID drops documents without a letter or with an ambiguous language; toxicity drops those
 predicted toxic; SimHash keeps one row of each group of near-duplicates, the one with the
-smallest id, and of those the one with the smallest text; decontamination drops documents of which benchmark passages make up 5 % of the words;
-packing cuts and packs what is left.  Each stage's result is written as Parquet and read again.
+smallest id, and of those the one with the smallest text; decontamination drops documents of which
+benchmark passages make up 5 % of the words; packing cuts and packs what is left.  Each stage's result
+is written as Parquet and read again.
+
+Results in odd cases: null and empty texts have no language and go in the first stage; rows without
+an id stay like any other, but come last where one of a group is chosen; an id may stand on several
+unlike texts, each of which is judged by itself, and only rows whose texts are near-duplicates are
+reduced to one; repeated rows are near-duplicates of each other; an empty table gives no rows; extra
+columns are carried through all stages but the last, whatever their names are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, langid, packing, simhash, toxicity
@@ -16,15 +25,22 @@ from siftline.llm.common import scratch, table
 from siftline.llm.queries import tokenizer_path
 
 
+def _screened(docs: DataFrame, find: Callable[[DataFrame, str, str], DataFrame], keep: Column) -> DataFrame:
+    """The rows of docs that an operator's columns keep; docs' own columns get other names meanwhile, so that none is replaced."""
+    names = {c: f"own{k}" for k, c in enumerate(docs.columns)}
+    found = find(docs.toDF(*names.values()), names["doc_id"], names["text"])
+    return found.where(keep).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(table(spark, sf_dir, "documents")), carry=True)
-    return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    return _screened(docs, lambda d, i, t: langid.identify(d, model, id_col=i, text_col=t, carry=True), (F.col("lang_pred") != "und") & ~F.col("ambiguous"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = toxicity.score(docs, toxicity.fit(known, labels, langid.fit(known)), carry=True)
-    return found.where("predicted = 0").select(*docs.columns)
+    model = toxicity.fit(known, labels, langid.fit(known))
+    return _screened(docs, lambda d, i, t: toxicity.score(d, model, id_col=i, text_col=t, carry=True), F.col("predicted") == 0)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=True)
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _screened(docs, lambda d, i, t: decontaminate.find_contamination(d, benchmark, id_col=i, text_col=t, carry=True), ~decontaminate.contaminated())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
