@@ -73,10 +73,10 @@ def last_place(most: float, n: int) -> int:
 def hashed_sample(rows: DataFrame, group: str, key: list[str], most: int, sizes: dict) -> DataFrame:
     """At most ``most`` rows of each group, those of the least hashes of their key; rows of one key count once.
 
-    sizes are the groups' numbers of rows.  A threshold by the size leaves about ``most`` rows of a
-    group, and a ranking of these is the hard bound; few rows are shuffled.
+    sizes are the groups' numbers of rows.  A threshold by the size leaves about twice ``most`` rows of
+    a group (fewer, if many repeat), and a ranking of these is the hard bound; few rows are shuffled.
     """
-    places = [(g, last_place(most, n)) for g, n in sizes.items()]
+    places = [(g, last_place(2 * most, n)) for g, n in sizes.items()]
     kinds = f"{OWN}g {rows.schema[group].dataType.simpleString()}, {OWN}last long"
     limits = rows.sparkSession.createDataFrame(places, kinds)
     near = rows.join(F.broadcast(limits), F.col(group) == F.col(f"{OWN}g")).withColumn(f"{OWN}place", sample_place(*[F.col(k) for k in key]))

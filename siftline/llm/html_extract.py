@@ -232,7 +232,7 @@ def labelled_page(seed: int) -> tuple[Page, np.ndarray, list[str]]:
     return page, labels.astype(np.int64), [t for t, y in zip(page.text, labels) if t is not None and y]
 
 
-def train(examples: list[tuple[Page, np.ndarray]], steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> TreeModel:
+def train(examples: list[tuple[Page, np.ndarray]], steps: int = 300, rate: float = 0.1, decay: float = 3e-5) -> TreeModel:
     """Weights by gradient ascent (Adam) on the likelihood of the labels."""
     vocabulary: dict[str, int] = {}
     forest = Forest([p for p, _ in examples], vocabulary, grow=True)

@@ -212,6 +212,15 @@ def test_html_of_made_pages(tree_model):
     assert right >= 130
 
 
+def test_html_of_pages_by_hand(tree_model):
+    from pages_by_hand import PAGES
+
+    for name, (html, text) in PAGES.items():
+        assert html_extract.main_texts(tree_model, [html]) == ["\n".join(text)], name
+    long = "<html><body><nav><a href=/>Home</a></nav><article>" + "".join(f"<p>Paragraph {k} of a long page.</p>" for k in range(20_000)) + "</article><footer>End</footer></body></html>"
+    assert html_extract.main_texts(tree_model, [long])[0].split("\n") == [f"Paragraph {k} of a long page." for k in range(20_000)]
+
+
 def test_messages_give_exact_marginals(tree_model):
     """Against a sum over all labellings of a small page."""
     html = "<body><nav><a href=x>Go</a></nav><article><h1>A</h1><p>Text here.</p></article></body>"
@@ -277,3 +286,28 @@ def test_pipeline(spark, tmp_path):
     assert 703 in kept[2] and 703 not in kept[3] and len(kept[3]) == len(kept[2]) - 1
     assert set(kept[4]) == set(kept[3])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_pipeline_of_nothing_and_of_clashing_columns(spark, tmp_path):
+    """An empty table; null ids, an id on unlike texts, and columns that bear operators' names."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    known = [(i, text, lang, "s", 1) for i, text, lang, *_ in spoken(300)]
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "never found words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [made_text(rng, 120, LANGUAGES["en"]) for _ in range(6)]
+    rows = [(9000, texts[0]), (9000, texts[1]), (9000, texts[1]), (None, texts[2]), (None, texts[3]), (9001, texts[3] + " the end"), (9002, texts[4]), (9002, None), (None, None)]
+    known += [(i, t, "en", "s", 1) for i, t in rows]
+    spark.createDataFrame(known, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    clash = ("lang_pred", "score", "AMBIGUOUS", "predicted", "spans", "items", "n_words", "code", "root", "row", "component_id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in clash})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {tuple(r)[2:] for r in out.collect()} <= {tuple(f"own {c}" for c in clash)}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs.where("text is not null"), str(tmp_path))
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect())) == sorted([(9000, texts[0]), (9000, texts[1]), (0, texts[2]), (9001, texts[3] + " the end"), (9002, texts[4])])
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path))
+    assert packed.where("piece = 0").count() == len(rows) and corpus_pipeline.pack(spark, docs.limit(0), str(tmp_path)).count() == 0

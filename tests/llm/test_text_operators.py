@@ -317,3 +317,106 @@ def test_frames_can_be_read_apart_and_damage_is_noticed(monkeypatch):
     data[8] ^= 0xFF
     with pytest.raises(Exception):
         list(tokens.FrameReader(Source(bytes(data))).documents([0]))
+
+
+def test_sharding_as_two_plain_passes(spark):
+    """Buckets by hash, offsets by their sizes, Fisher-Yates in each: the same places, by loops."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, made_text(rng, 5), "en", "s", 1) for k in range(400)]
+    frame, seed, buckets = spark.createDataFrame(rows, SCHEMA), 20261, 16
+    hashed = frame.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).collect()
+    by_bucket = collections.defaultdict(list)
+    for r in hashed:
+        by_bucket[r["h"] % buckets].append((r["h"], r["doc_id"]))
+    expected, offset = {}, 0
+    for b in sorted(by_bucket):
+        order = list(range(len(by_bucket[b])))
+        draws = np.random.Generator(np.random.PCG64([seed, b]))
+        for i, j in zip(range(len(order) - 1, 0, -1), draws.integers(0, np.arange(len(order), 1, -1)).tolist() if len(order) > 1 else []):
+            order[i], order[j] = order[j], order[i]
+        for (_, doc_id), place in zip(sorted(by_bucket[b]), order):
+            expected[doc_id] = offset + place
+        offset += len(order)
+    got = sharding.shard_documents(frame, shards=7, least_buckets=buckets).collect()
+    assert {r["doc_id"]: r["position"] for r in got} == expected
+
+
+def test_many_equal_rows_are_spread_over_buckets(spark):
+    rows = [(None, "same", "en", "s", 1)] * 3000 + [(k, f"t{k}", "en", "s", 1) for k in range(200)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    keyed = frame.withColumn(sharding.TIE, F.xxhash64(F.lit(1), F.col("doc_id"), F.col("text")))
+    salted = sharding._salted(keyed, 1, 100)
+    assert salted.columns == keyed.columns and salted.select(sharding.TIE).distinct().count() == 3200
+    got = sharding.shard_documents(frame, shards=5, least_buckets=50, hot_rows=100).collect()
+    assert collections.Counter(tuple(r)[:5] for r in got) == collections.Counter(rows)
+    assert sorted(r["position"] for r in got) == list(range(3200))
+
+
+def test_pattern_tables_are_built_once(spark):
+    bench = spark.createDataFrame([(k, made_text(__import__("random").Random(k), 30)) for k in range(6)], "item_id long, text string")
+    paths = decontaminate._written_blocks(bench, 13, 500, "item_id", "text")
+    assert len(paths) > 1
+    decontaminate.patterns_at.cache_clear()
+    for path in paths:
+        for _ in range(5):
+            decontaminate.patterns_at(path)
+    assert decontaminate.patterns_at.cache_info().misses == len(paths) and decontaminate.patterns_at.cache_info().currsize == 1
+
+
+def test_blocks_kept_grow_with_the_fingerprints():
+    for n in (1, 10**6, 10**8, 10**9, 10**10, 10**11, 10**12):
+        kept = simhash.kept_blocks(n)
+        assert n / 2 ** (64 * kept // (4 + kept)) <= 64
+    assert simhash.kept_blocks(10**7) == 2 and simhash.kept_blocks(10**11) == 4
+
+
+def classes(codes, links):
+    root = {c: c for c in codes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    out = collections.defaultdict(set)
+    for c in codes:
+        out[find(c)].add(c)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("kept", [2, 3])
+def test_large_buckets_are_dealt_to_several_tasks(spark, kept):
+    """Many near copies of one text, and some codes apart, with buckets large from 16 codes on."""
+    rng = np.random.default_rng(4)
+    centre, codes = 0x0123456789ABCDEF, set(rng.integers(0, 2**63, 60).tolist())
+    for _ in range(500):
+        flips = rng.choice(64, rng.integers(0, 9), replace=False).tolist()
+        codes.add(int(centre ^ sum(1 << b for b in flips)))
+    signed = lambda c: c - 2**64 if c >= 2**63 else c
+    frame = spark.createDataFrame([(signed(c),) for c in codes], "code long")
+    masks = [signed(m) for m in simhash.block_masks(4, kept)]
+    placed = frame.select(F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("choice", "mask"), "code").select("choice", F.col("code").bitwiseAND(F.col("mask")).alias("key"), "code")
+    dealt = simhash._dealt(placed, 2, 16)
+    assert dealt.select("choice", "key", "pair").distinct().groupBy("choice", "key").count().where("count > 2").count() > 0
+    links = [(r["u"] % 2**64, r["v"] % 2**64) for r in simhash.near_links(frame, kept=kept, sampled=2, group_size=16).collect()]
+    every = [(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 4]
+    assert classes(codes, links) == classes(codes, every)
+
+
+def test_token_files_of_failed_attempts_are_not_read(spark, tokenizer):
+    """One id with most rows lies in several files; a stray file goes."""
+    import os
+
+    rows = [(None, "same text", "en", "s", 1)] * 200 + [(k, f"text {k}", "en", "s", 1) for k in range(10)]
+    path = scratch(spark, "test-attempts")
+    os.makedirs(path)
+    open(f"{path}/part-000000-99.zids", "wb").write(b"cut")
+    written = tokens.write_tokens(spark.createDataFrame(rows, SCHEMA).repartition(4), path, tokenizer_path(), 2, task_bytes=100)
+    assert sorted(f["name"] for f in written["files"]) == sorted(x for x in os.listdir(path) if x.endswith(".zids")) and len(written["files"]) > 2
+    got = sorted(tokens.read_tokens(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 200 + list(range(10))
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
