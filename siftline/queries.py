@@ -470,6 +470,13 @@ def fill_limit(spark, sf_dir):
     return rows.fill_along(_events(spark, sf_dir), ["v"], ["ts", "event_id"], ["user_id"], limit=1).select("event_id", "v")
 
 
+@query("""SELECT o_orderkey, last_value(CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS s FROM orders""")
+def fill_whole(spark, sf_dir):
+    """The whole table in one order, in blocks."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).alias("s"))
+    return rows.fill_along(orders, ["s"], ["o_orderkey"], block_rows=1000)
+
+
 @query("SELECT c_custkey, CAST(nullif(c_nationkey, 3) AS DOUBLE) AS a, CAST(coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 100 END, nullif(c_nationkey, 3)) AS DOUBLE) AS b FROM customer")
 def fill_across(spark, sf_dir):
     nation = F.col("c_nationkey").cast("double")

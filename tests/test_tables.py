@@ -54,6 +54,9 @@ def test_duplicates_and_nulls(spark):
     gaps = spark.createDataFrame([(1, 5), (2, None), (3, None), (4, 6), (5, None)], "t int, v int")
     along = lambda **k: [r["v"] for r in rows.fill_along(gaps, ["v"], ["t"], **k).orderBy("t").collect()]
     assert along() == [5, 5, 5, 6, 6] and along(limit=1) == [5, 5, None, 6, 6] and along(backward=True) == [5, 6, 6, 6, None]
+    for size in (1, 2, 3):
+        assert along(block_rows=size) == [5, 5, 5, 6, 6] and along(limit=1, block_rows=size) == [5, 5, None, 6, 6] and along(backward=True, block_rows=size) == [5, 6, 6, 6, None]
+        assert along(backward=True, limit=1, block_rows=size) == [5, None, 6, 6, None]
     assert [r["v"] for r in rows.fill_value(gaps, ["v"], 0).orderBy("t").collect()] == [5, 0, 0, 6, 0]
 
 
