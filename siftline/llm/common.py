@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 #: Prefix of the columns that operators add for their own use.
 OWN = "__sl_"
+_GIVEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path for a table or files in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/siftline-{tag}-{uuid.uuid4().hex}"
+    """A new path for a table or files in the shared folder; remove_scratch() deletes all that were given."""
+    _GIVEN.append(f"{shared_dir(spark).rstrip('/')}/siftline-{tag}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+def remove_scratch() -> None:
+    """Delete the intermediate tables of this session, once the results that read them are written elsewhere."""
+    from pyarrow import fs
+
+    while _GIVEN:
+        store, path = filesystem(_GIVEN.pop())
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            store.delete_dir(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

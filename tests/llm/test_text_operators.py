@@ -420,3 +420,31 @@ def test_token_files_of_failed_attempts_are_not_read(spark, tokenizer):
     got = sorted(tokens.read_tokens(spark, path).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None] * 200 + list(range(10))
     assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+
+
+def test_work_grows_with_the_fingerprints():
+    """Ten times the codes, unlike ones and near copies, with buckets as they would be: at most twelve times the pairs compared and rows placed."""
+    rng = np.random.default_rng(9)
+
+    def work(n):
+        copies = rng.integers(0, 2**63, n // 4, dtype=np.uint64)
+        near = copies ^ (np.uint64(1) << rng.integers(0, 64, n // 4).astype(np.uint64))
+        codes = np.unique(np.concatenate([rng.integers(0, 2**63, n // 2, dtype=np.uint64), copies, near]))
+        masks = np.array(simhash.block_masks(4, simhash.kept_blocks(n)), dtype=np.uint64)
+        index, _ = simhash.bucket_index(np.repeat(np.arange(len(masks)), len(codes)), np.tile(codes, len(masks)), masks, 4)
+        index.search()
+        return index.compared + len(masks) * len(codes)
+
+    assert work(60_000) <= 12 * work(6_000)
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from siftline.llm.common import remove_scratch
+
+    path = scratch(spark, "gone")
+    spark.range(3).write.parquet(path)
+    remove_scratch()
+    assert not os.path.exists(path)
+    remove_scratch()
