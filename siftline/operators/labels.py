@@ -55,6 +55,12 @@ def running_codes(df: DataFrame, start: str, order_by: Sequence[str], column: st
     return numbered.withColumn(column, code).drop("__number")
 
 
+def renumbered(df: DataFrame, start: str, order_by: Sequence[str], repeat: int = 0) -> DataFrame:
+    """The table behind a run of labels: a row for each copy, with its own code, and df's columns in their order."""
+    coded = running_codes(copies(df, repeat), start, [*order_by, "copy"])
+    return coded.select(*df.columns, *(["catalogNumber"] if "catalogNumber" not in df.columns else []))
+
+
 def texts(df: DataFrame) -> DataFrame:
     """All columns as text, nulls empty."""
     return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])

@@ -728,3 +728,10 @@ def label_pages(spark, sf_dir):
     sheets = labels.pages(read(spark, sf_dir, "nation").withColumn("label", F.col("n_name")), ["n_nationkey"])
     cells = F.regexp_extract_all("html", F.lit(r"mm\">([^<]*)</div>"), F.lit(1))
     return sheets.select("page", F.size(cells).cast("long").alias("n"), F.array_join(cells, ",").alias("names"))
+
+
+@query("""SELECT c_custkey, 'K' || CASE WHEN length(CAST(n AS VARCHAR)) < 4 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS catalogNumber
+FROM (SELECT c_custkey, 6 + row_number() OVER (ORDER BY c_custkey, copy) AS n FROM (SELECT c_custkey, unnest(range(0, 1 + c_custkey % 3)) AS copy FROM customer))""")
+def label_renumbered(spark, sf_dir):
+    customer = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 3 + 1).alias("duplicatesOfLabel"))
+    return labels.renumbered(customer, "K0007", ["c_custkey"]).select("c_custkey", "catalogNumber")

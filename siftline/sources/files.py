@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.cluster import checkpointed
+
+
+#: Fixed value: rows of an Excel sheet without the header.
+EXCEL_ROWS = 1_048_575
+
 
 def null_nan(df: DataFrame, empty_text: bool = False) -> DataFrame:
     """NaN (and empty text, if asked for) become null."""
@@ -29,10 +35,13 @@ def load(spark: SparkSession, source, *, sql: str | None = None, jdbc: Mapping[s
     csv and txt are read as text columns with a header; quoted fields may hold line breaks, so a file
     is one task unless multiLine=False says that there are none; json keeps its types, and is one
     task a file unless multiLine=False says that each line is a record; parquet and
-    orc are read as they are; xls and xlsx need pandas with an Excel engine and fit the driver.
+    orc are read as they are; xls and xlsx need pandas with an Excel engine and fit the driver.  With
+    partitionColumn, bounds and numPartitions among jdbc's options, a query is read in that many tasks.
     """
     if jdbc is not None:
-        return spark.read.format("jdbc").options(**jdbc).option("query", sql or source).load()
+        reader = spark.read.format("jdbc").options(**jdbc)
+        # a query cannot be read in partitions, a table of its result can
+        return (reader.option("dbtable", f"({sql or source}) AS q") if "partitionColumn" in jdbc else reader.option("query", sql or source)).load()
     if isinstance(source, DataFrame) or hasattr(source, "sparkSession"):
         return source
     if not isinstance(source, str):
@@ -64,6 +73,8 @@ def save(df: DataFrame, path: str, *, jdbc: Mapping[str, str] | None = None, tab
     elif kind in (".json", ".parquet", ".orc"):
         df.write.mode(mode).format(kind[1:]).save(path)
     elif kind == ".xlsx":
+        if df.count() > EXCEL_ROWS:
+            raise ValueError(f"a sheet has at most {EXCEL_ROWS} rows")
         df.toPandas().to_excel(path, index=False)
     else:
         raise ValueError(f"no writer for {path!r}")
@@ -85,8 +96,11 @@ def write_routed(routed: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def export_routed(routed: DataFrame, path: str) -> dict[str, int]:
-    """Three JSON files on the driver (path_ready.json and so on), written row by row; counts by status."""
-    counts = {}
+    """Three JSON files on the driver (path_ready.json and so on), written row by row; counts by status.
+
+    The records are checked once, and written for the three from there.
+    """
+    counts, routed = {}, checkpointed(routed)
     for status in ("ready", "needcheck", "unvalid"):
         rows = routed.where(F.col("status") == status).drop("status")
         n = 0

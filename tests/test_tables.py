@@ -178,6 +178,8 @@ def test_labels(spark):
     df = spark.createDataFrame([(1, "2"), (2, "x"), (3, "0"), (4, None)], "k int, duplicatesOfLabel string")
     assert sorted(collected(labels.copies(df).select("k", "copy"))) == [(1, 1), (1, 2), (2, 1), (4, 1)]
     assert labels.copies(df, 3).count() == 12
+    table = labels.renumbered(df, "K07", ["k"])
+    assert table.columns == ["k", "duplicatesOfLabel", "catalogNumber"] and [r["catalogNumber"] for r in table.orderBy("catalogNumber").collect()] == ["K07", "K08", "K09", "K10"]
     many = spark.createDataFrame([(k,) for k in range(250)], "k int")
     codes = [r["catalogNumber"] for r in labels.running_codes(many.repartition(5), "A098", ["k"]).orderBy("k").collect()]
     assert codes[:3] == ["A098", "A099", "A100"] and codes[-1] == "A347" and labels.code_parts("B01-9") == ("B01-", 9, 1)
