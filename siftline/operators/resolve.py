@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.authors import with_scores
 from ..functions.flags import Staging
 from ..functions.taxon import parsed_name, styled_name
+from .cluster import checkpointed
 
 #: What each provider's answers hold, by the names of sources.answers.
 PROJECTIONS = {
@@ -93,12 +94,13 @@ def resolve(df: DataFrame, column: str, lib: DataFrame, outputs: Mapping[str, st
 def resolve_cascade(df: DataFrame, column: str, libs: Sequence[tuple[str, DataFrame]], output: str = "std_name") -> DataFrame:
     """The first provider's candidate, for each name the earliest of libs (name, table) that has one; also its provider.
 
-    Only names that earlier providers miss are asked of later ones.
+    Only names that earlier providers miss are asked of later ones.  Each provider's answers, a row for
+    a distinct name, are checkpointed, since both the result and the next question read them.
     """
-    open_queries = query_keys(df, column)
+    open_queries = checkpointed(query_keys(df, column))
     found: DataFrame | None = None
     for provider, lib in libs:
-        best = best_candidates(open_queries, lib).select("raw", F.col("lib_name").alias(output), F.lit(provider).alias("provider"))
+        best = checkpointed(best_candidates(open_queries, lib).select("raw", F.col("lib_name").alias(output), F.lit(provider).alias("provider")))
         open_queries = open_queries.join(best.select("raw"), "raw", "left_anti")
         found = best if found is None else found.unionByName(best)
     chosen = found.withColumnRenamed("raw", "__raw")

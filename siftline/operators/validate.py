@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Mapping
 from functools import reduce
 
@@ -96,7 +97,7 @@ def _number(low: float, high: float) -> dict:
     return {"type": "number", "minimum": low, "maximum": high}
 
 
-#: Required parts, bounds and lengths of an occurrence record.  Lists of allowed terms are the caller's.
+#: Required parts, bounds and lengths of an occurrence record.
 OCCURRENCE_SCHEMA = {
     "required": ["Occurrence", "Location", "Record"],
     "properties": {
@@ -117,8 +118,6 @@ OCCURRENCE_SCHEMA = {
 
 def with_terms(schema: Mapping, terms: Mapping[str, list[str]]) -> dict:
     """The schema with lists of allowed terms by path, such as {"Occurrence.sex": [...]}; paths go through lists."""
-    import copy
-
     out = copy.deepcopy(dict(schema))
     for path, allowed in terms.items():
         node = out
@@ -127,3 +126,25 @@ def with_terms(schema: Mapping, terms: Mapping[str, list[str]]) -> dict:
             node = node.setdefault("properties", {}).setdefault(name, {})
         node["enum"] = list(allowed)
     return out
+
+
+#: Terms that members of an occurrence record may have.
+OCCURRENCE_TERMS = {
+    "Occurrence.sex": ["♂", "♀", "☉"],
+    "Occurrence.lifeStage": ["无花无果", "有花无果", "无花有果", "有花有果", "无孢子囊", "有孢子囊", "幼", "亚成", "成", "不清"],
+    "Occurrence.establishmentMeans": ["本土", "引种", "归化", "入侵", "受控"],
+    "Occurrence.disposition": ["在库", "出库", "遗失"],
+    "Identification.typeStatus": [
+        "type", "type species", "type genus", "allolectotype", "alloneotype", "allotype", "cotype", "epitype", "ex-epitype", "ex-holotype", "ex-isotype", "ex-lectotype", "ex-neotype",
+        "ex-paratype", "ex-syntype", "ex-type", "hapantotype", "holotype", "iconotype", "isolectotype", "isoneotype", "isosyntype", "isotype", "lectotype", "neotype", "paralectotype",
+        "paraneotype", "paratype", "plastoholotype", "plastoisotype", "plastolectotype", "plastoneotype", "plastoparatype", "plastosyntype", "plastotype", "secondary type",
+        "supplementary type", "syntype", "topotype", "original material", "not type",
+    ],
+    "Record.category": ["植物", "动物", "真菌", "假菌", "古细菌", "原核生物", "病毒"],
+    "Record.basisOfRecord": ["生物痕迹", "人类观察", "机器记录", "馆藏标本", "活体标本", "化石标本", "文献记录", "不清"],
+}
+
+
+def occurrence_schema(terms: Mapping[str, list[str]] | None = None) -> dict:
+    """The schema of occurrence records with their terms, or others by path."""
+    return with_terms(OCCURRENCE_SCHEMA, OCCURRENCE_TERMS | dict(terms or {}))

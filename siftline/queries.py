@@ -701,6 +701,23 @@ def schema_route(spark, sf_dir):
     return validate.status_counts(validate.route(_records(spark, sf_dir), _SCHEMA))
 
 
+@query("""SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'needcheck' WHEN o_orderkey % 3 < 2 AND o_orderkey % 5 < 4 AND o_orderkey % 200 <= 90 THEN 'ready' ELSE 'unvalid' END AS status, count(*) AS n
+FROM orders GROUP BY 1""")
+def schema_occurrence(spark, sf_dir):
+    """The schema of occurrence records with its terms: sexes and types that are none, latitudes out of bounds, flagged names."""
+    k = F.col("o_orderkey")
+    sex = F.when(k % 3 == 0, "♂").when(k % 3 == 1, "♀").otherwise("male")
+    kind = F.when(k % 5 < 4, "holotype").otherwise("holo")
+    collector = F.when(k % 11 == 0, "!A.").otherwise("A.")
+    records = read(spark, sf_dir, "orders").select(
+        F.struct(text("urn:", k).alias("occurrenceID"), collector.alias("recordedBy"), sex.alias("sex")).alias("Occurrence"),
+        F.struct(F.lit("中国").alias("country"), (k % 200).cast("double").alias("decimalLatitude")).alias("Location"),
+        F.array(F.struct(F.lit("Poa annua").alias("scientificName"), kind.alias("typeStatus"))).alias("Identification"),
+        F.struct(*[F.lit(v).alias(c) for c, v in (("basisOfRecord", "馆藏标本"), ("dataFrom", "x"), ("rightsHolder", "y"), ("license", "z"))]).alias("Record"),
+    )
+    return validate.status_counts(validate.route(records, validate.occurrence_schema()))
+
+
 # --- labels ----------------------------------------------------------------------------------
 
 

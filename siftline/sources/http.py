@@ -91,13 +91,21 @@ class _PortalReader(DataSourceReader):
             yield str(key), json.dumps(r, ensure_ascii=False), f"{details or self.options['list_url']}?id={key}", keywords
 
 
+#: Fixed value: seconds that the portal wants to be left alone after status 429.
+PORTAL = Policy(wait=10)
+
+
+def portal_fetch(url: str) -> str:
+    return fetch(url, PORTAL)
+
+
 class PortalSource(DataSource):
     """A specimen portal: options list_url, search (JSON), page_size, and detail_url for whole records.
 
     A partition for each page; columns collectionID, record (JSON), references and queryKeywords.
     """
 
-    get: Fetch = staticmethod(fetch)
+    get: Fetch = staticmethod(portal_fetch)
 
     @classmethod
     def name(cls) -> str:
