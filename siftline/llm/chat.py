@@ -43,13 +43,13 @@ def lone_turns(turns: DataFrame) -> DataFrame:
     one = F.lit(1)
     hashed = turns.select(F.xxhash64(one, F.xxhash64("role", "text")).alias(A), F.xxhash64(F.xxhash64(F.lit(7), "text", "role"), one).alias(B), "role", "text")
     alike = hashed.groupBy(A, B).agg(F.count(one).alias("copies"), F.first("role").alias("role"), F.first("text").alias("text"))
-    return alike.select(A, B, F.lit(1).cast("long").alias(N), F.lit(None).cast("long").alias("conv_id"), "copies", rendered_turn(F.col("role"), F.col("text")).alias("text"))
+    return alike.select(A, B, F.lit(1).cast("long").alias(N), F.lit(None).cast(turns.schema["conv_id"].dataType).alias("conv_id"), "copies", rendered_turn(F.col("role"), F.col("text")).alias("text"))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and copies of the conversations that are no proper prefix of another; text of those without an id."""
     hashes = checkpointed(prefix_hashes(turns.where("conv_id is not null")))
-    whole = hashes.where(F.col(K) == F.col(N)).groupBy(A, B, N).agg(F.min("conv_id").cast("long").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
+    whole = hashes.where(F.col(K) == F.col(N)).groupBy(A, B, N).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
     every = whole.withColumn("text", F.lit(None).cast("string")).unionByName(lone_turns(turns.where("conv_id is null")))
     whole = every.groupBy(A, B, N).agg(F.min("conv_id").alias("conv_id"), F.sum("copies").alias("copies"), F.max("text").alias("text"))
     proper = hashes.where(F.col(K) < F.col(N)).select(A, B, F.col(K).cast("long").alias(N)).distinct()

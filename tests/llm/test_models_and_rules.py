@@ -47,6 +47,8 @@ def test_chats_keep_maximal_conversations(spark):
     got = chat.format_chats(table.withColumn("copies", F.lit(1))).collect()
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
     assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
+    named = chat.format_chats(table.withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id"))))
+    assert named.schema["conv_id"].dataType.simpleString() == "string" and named.count() == len(expected)
 
 
 def plain_statistics(text):
