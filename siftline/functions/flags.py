@@ -48,7 +48,7 @@ class Cell(NamedTuple):
 class Staging:
     """Projections in order; the columns of each may read those of the ones before."""
 
-    def __init__(self, prefix: str = "__clean", cut: int = 4):
+    def __init__(self, prefix: str = "__clean", cut: int = 6):
         self.prefix, self.levels, self.cut = prefix, [], cut
 
     def keep(self, **columns: Column) -> SimpleNamespace:

@@ -109,7 +109,7 @@ class Step:
     before: list[dict[str, Column]] = field(default_factory=list)
 
     def staging(self) -> Staging:
-        out = Staging(cut=4 if len(self.before[0]) < 8 else 2)
+        out = Staging(cut=6 if len(self.before[0]) < 8 else 2)
         out.levels = self.before
         return out
 
