@@ -53,12 +53,13 @@ def standardised(text: Column, vocabulary: Vocabulary, on_unmatched: str = "keep
 
 
 def standardise_by_table(df: DataFrame, column: str, vocabulary: DataFrame, on_unmatched: str = "keep") -> DataFrame:
-    """df with its column standardised by a table (standard, alias, ord) of any size."""
+    """df with its column, read as text, standardised by a table (standard, alias, ord) of any size; an alias may repeat."""
     pairs = vocabulary.select(F.col("standard").alias("__std"), F.col("alias").alias("__alias"), F.col("ord").alias("__ord"))
     pairs = pairs.unionByName(vocabulary.select(F.col("standard").alias("__std"), F.col("standard").alias("__alias"), F.lit(-1).cast("long").alias("__ord")))
     first = pairs.groupBy("__alias").agg(F.min_by("__std", "__ord").alias("__std"))
-    joined = df.join(first, F.col(column) == F.col("__alias"), "left")
-    shown = _unmatched(F.col(column), F.col("__std"), on_unmatched)
+    raw = F.col(column).cast("string")
+    joined = df.join(first, raw == F.col("__alias"), "left")
+    shown = _unmatched(raw, F.col("__std"), on_unmatched)
     return joined.select(*[shown.alias(c) if c == column else F.col(c) for c in df.columns])
 
 

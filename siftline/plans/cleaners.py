@@ -40,9 +40,9 @@ def BioName(stage: Staging, text: Column, style: str = "scientificName") -> list
     return taxon.styled_name(stage, text, style)
 
 
-def RadioInput(text, vocabulary: vocab.Vocabulary, on_unmatched: str = "keep"):
-    """Values by a vocabulary; one of many entries is joined as a table."""
-    if is_reference(text) and len(vocab.lookup(vocabulary)) > vocab.LITERAL_ENTRIES:
+def RadioInput(text, vocabulary: vocab.Vocabulary | DataFrame, on_unmatched: str = "keep"):
+    """Values by a vocabulary; one of many entries is joined as a table, and so is one given as a table (standard, alias, ord)."""
+    if is_reference(text) and (isinstance(vocabulary, DataFrame) or len(vocab.lookup(vocabulary)) > vocab.LITERAL_ENTRIES):
         return _joined_vocabulary(text, vocabulary=vocabulary, on_unmatched=on_unmatched)
     return _literal_vocabulary(text, vocabulary, on_unmatched)
 
@@ -53,9 +53,10 @@ def _literal_vocabulary(text: Column, vocabulary: vocab.Vocabulary, on_unmatched
 
 
 @tfunc
-def _joined_vocabulary(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], vocabulary: vocab.Vocabulary, on_unmatched: str) -> DataFrame:
+def _joined_vocabulary(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], vocabulary: vocab.Vocabulary | DataFrame, on_unmatched: str) -> DataFrame:
+    table = vocabulary if isinstance(vocabulary, DataFrame) else vocab.as_table(df.sparkSession, vocabulary)
     out = df if outputs[0] == inputs[0] else df.withColumn(outputs[0], F.col(inputs[0]))
-    return vocab.standardise_by_table(out, outputs[0], vocab.as_table(df.sparkSession, vocabulary), on_unmatched)
+    return vocab.standardise_by_table(out, outputs[0], table, on_unmatched)
 
 
 @ifunc

@@ -416,10 +416,11 @@ def vocab_standard(spark, sf_dir):
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE '!' || c_name END AS word FROM customer")
 def vocab_joined(spark, sf_dir):
-    """A vocabulary of many entries in a model, which joins it."""
-    words = {"even": [f"Customer#{k:09d}" for k in range(0, 20_000, 2)]}
-    model = Model([("c_custkey", "$c_custkey"), ("word", C.RadioInput("$c_name", words, "flag"))])
-    return model(read(spark, sf_dir, "customer"))
+    """A vocabulary of as many entries as the table has even keys, in a model, which joins it."""
+    customer = read(spark, sf_dir, "customer")
+    even = customer.where("c_custkey % 2 = 0").select(F.lit("even").alias("standard"), F.col("c_custkey").cast("string").alias("alias"), F.lit(0).cast("long").alias("ord"))
+    model = Model([("c_custkey", "$c_custkey"), ("c_name", "$c_name"), ("word__", C.RadioInput("$c_custkey", even, "null"))])
+    return model(customer).select("c_custkey", F.coalesce("word", text("!", F.col("c_name"))).alias("word"))
 
 
 @query("SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') GROUP BY 1")
