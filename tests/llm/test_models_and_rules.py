@@ -313,3 +313,47 @@ def test_pipeline_of_nothing_and_of_clashing_columns(spark, tmp_path):
     assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect())) == sorted([(9000, texts[0]), (9000, texts[1]), (0, texts[2]), (9001, texts[3] + " the end"), (9002, texts[4])])
     packed = corpus_pipeline.pack(spark, docs, str(tmp_path))
     assert packed.where("piece = 0").count() == len(rows) and corpus_pipeline.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def marked_rows(n: int, before: str = "") -> tuple[list, list]:
+    """Texts and labels; a word at the end of every fourth text is what the label goes by."""
+    rng = random.Random(11)
+    words = "the of and thin onent erly stoun wha ti blere ounds".split()
+    rows = [(k, before + " ".join(rng.choices(words, k=12)) + (" slurry" if k % 4 == 0 else ""), "en", "s", 1) for k in range(n)]
+    return rows, [(k, 1, int(k % 4 == 0)) for k in range(n)]
+
+
+def right_held_out(found: list, marks: list) -> float:
+    truth = {i: y for i, _, y in marks}
+    held = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    return sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held)
+
+
+def test_toxicity_is_learned_in_shards_from_all_rows(spark, monkeypatch):
+    """Many shards: no words come to the driver, every labelled row is counted once, and the result is the same each time."""
+    rows, marks = marked_rows(1500)
+    docs = spark.createDataFrame(rows + rows[:300], SCHEMA)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 16_000)
+    monkeypatch.setattr(toxicity, "_fit_here", None)
+    counted, original = [], toxicity._from_hits
+    monkeypatch.setattr(toxicity, "_from_hits", lambda hits, sizes, rng: counted.append(sizes) or original(hits, sizes, rng))
+    ends, calibrate = [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, x, y, g, n: ends.append(n.sum()) or calibrate(m, x, y, g, n))
+    language = langid.fit(docs)
+    models = [toxicity.fit(docs, labels, language) for _ in range(2)]
+    learned = [k for k, *_ in rows if zlib.crc32(str(k).encode()) % 5]
+    assert counted[0].sum() + ends[0] == len(learned) and counted[0][1] > 0
+    assert (models[0].embedding == models[1].embedding).all() and models[0].thresholds == models[1].thresholds
+    assert right_held_out(toxicity.score(docs, models[0]).collect(), marks) >= 0.95
+
+
+def test_training_finds_the_strongest_words_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(0)
+    model = toxicity._start([rng.integers(0, 99, (9, 3)) for _ in range(4)], np.array([0, 1, 0, 1]), rng)
+    counts = np.array([200, 1, 9, 8, 7, 299])
+    rows = rng.integers(0, toxicity.ROWS, (counts.sum(), 3))
+    whole = toxicity.strongest(model, rows, counts)
+    monkeypatch.setattr(toxicity, "RUN", 7)
+    cut = toxicity.strongest(model, rows, counts)
+    assert (whole[0] == cut[0]).all() and np.allclose(whole[1], cut[1], atol=1e-5)
