@@ -348,6 +348,13 @@ def test_toxicity_is_learned_in_shards_from_all_rows(spark, monkeypatch):
     assert right_held_out(toxicity.score(docs, models[0]).collect(), marks) >= 0.95
 
 
+def test_toxicity_is_learned_from_whole_texts(spark):
+    """What a label goes by stands after 20000 words."""
+    rows, marks = marked_rows(120, "thin erly " * 10_050)
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    assert right_held_out(toxicity.score(docs, toxicity.fit(docs, labels, langid.fit(docs))).collect(), marks) >= 0.95
+
+
 def test_training_finds_the_strongest_words_of_long_texts(monkeypatch):
     rng = np.random.default_rng(0)
     model = toxicity._start([rng.integers(0, 99, (9, 3)) for _ in range(4)], np.array([0, 1, 0, 1]), rng)
